@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from cairn.llm import mixing, quality
+from cairn.llm import mixing, packing, quality, records, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_token_records": records.op5_token_records,
     "op6_mixing": mixing.op6_mixing,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL = {
