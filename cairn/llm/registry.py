@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cairn.llm import mixing, packing, quality, records, warc
+from cairn.llm import minhash, mixing, packing, quality, records, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_minhash": minhash.op3_minhash,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_records": records.op5_token_records,
     "op6_mixing": mixing.op6_mixing,
