@@ -82,7 +82,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """log(p_target / p_raw) of every bucket in millionths, counts raised by one."""
     raw = bucket_counts(docs, buckets).withColumn("of", F.lit("raw"))
-    good = bucket_counts(docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi"), buckets).withColumn("of", F.lit("good"))
+    good = bucket_counts(docs.select("doc_id", "text").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi"), buckets).withColumn("of", F.lit("good"))
     both = raw.unionByName(good).groupBy("bucket").pivot("of", ["raw", "good"]).agg(F.sum("n")).na.fill(0)
     rows = both.toPandas()  # at most `buckets` rows
     n_raw, n_good = int(rows["raw"].sum()), int(rows["good"].sum())
