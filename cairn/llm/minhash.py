@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import workspace as ws
@@ -131,8 +131,8 @@ def bits_of(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n, node (digest of the set; null: empty), bands, b0..b6 of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))] + [(b, pa.int64()) for b in _BITS])
+    """doc_id, key, n, node (digest of the set; null: empty), bands, b0..b6 of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))] + [(b, pa.int64()) for b in _BITS])
 
     def run(batches):
         for batch in batches:
@@ -152,13 +152,18 @@ def sketches(docs: DataFrame) -> DataFrame:
             words = np.array(bits, np.int64).reshape(len(ns), 7)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(7)]], schema=schema)
 
-    spark_schema = "doc_id bigint, row bigint, n bigint, node binary, bands array<bigint>, " + ", ".join(f"{b} bigint" for b in _BITS)
-    return numbered(docs).mapInArrow(run, spark_schema)
+    spark_schema = "doc_id bigint, key binary, n bigint, node binary, bands array<bigint>, " + ", ".join(f"{b} bigint" for b in _BITS)
+    return keyed(docs).mapInArrow(run, spark_schema)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text: rows are told apart by their place in the table."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with key: a digest of id and text, which a second pass over the table finds again however its files are split."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
+
+
+def row_key():
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -214,15 +219,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_components(ws.table(spark, sf_dir, "documents"))
-
-
-def find_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs, which must be a table or a checkpoint."""
+def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, n, node of every row; and for each node that has copies or links its component_id and the key of the one row
+    that stays (of the smallest id)."""
     spark = docs.sparkSession
     rows, _ = ws.stage(sketches(docs), "mh-sketches")
-    nodes, nodes_path = ws.stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(b).alias(b) for b in _BITS]), "mh-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("f")
+    grouped = rows.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(b).alias(b) for b in _BITS])
+    nodes, nodes_path = ws.stage(grouped, "mh-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared, shared_path = ws.stage(buckets.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "mh-shared")
     members, members_path = ws.stage(buckets.join(shared.hint("merge"), "key"), "mh-members")
@@ -230,11 +234,10 @@ def find_components(docs: DataFrame) -> DataFrame:
     star = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(info.alias("x"), F.col("a") == F.col("x.node")).join(info.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b")
     star, star_path = ws.stage(star, "mh-star")
-    wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node")
-    wanted, wanted_path = ws.stage(wanted, "mh-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets, sets_path = ws.stage(shingle_sets(numbered(docs).join(wanted, "row").select("node", "text")), "mh-sets")
+    wanted, wanted_path = ws.stage(members.select("node").distinct().join(nodes.select("node", F.col("f.key").alias("key")), "node"), "mh-wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = keyed(docs.select("doc_id", "text")).join(F.broadcast(wanted) if few else wanted, "key").select("node", "text")
+    sets, sets_path = ws.stage(shingle_sets(texts).dropDuplicates(["node"]), "mh-sets")
     links, links_path = ws.stage(verified(star, sets), "mh-links")
     roots = components(links)
     labelled = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -246,10 +249,35 @@ def find_components(docs: DataFrame) -> DataFrame:
     more, more_path = ws.stage(verified(pairs.join(star, ["a", "b"], "left_anti"), sets), "mh-more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
-    least = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(least, "root").select("node", "component_id")
-    final, _ = ws.stage(nodes.select("node", "doc_id", "copies").join(named, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "mh-final")
+    least = roots.join(nodes.select("node", "f"), "node").groupBy("root").agg(F.min("f").alias("f"))
+    named = roots.join(least, "root").select("node", F.col("f").alias("least"))
+    final = nodes.select("node", "f", "copies").join(named, "node", "left").where("copies > 1 or least is not null").withColumn("least", F.coalesce("least", "f"))
+    final, _ = ws.stage(final.select("node", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("stays")), "mh-final")
     ws.drop(spark, nodes_path, wanted_path, shared_path, members_path, star_path, sets_path, links_path, mixed_path, open_path, more_path)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(final.withColumn("found", F.lit(True)), "node", "left")
+    return rows.select("doc_id", "key", "n", "node"), final
+
+
+def find_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    rows, final = resolve(docs)
+    out = rows.join(final.withColumn("found", F.lit(True)), "node", "left")
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component. Rows that are equal in id and text are told apart by number only where one of them
+    stays."""
+    rows, final = resolve(docs)
+    judged = rows.join(final, "node").groupBy("key").agg(F.first(F.col("key") == F.col("stays")).alias("__stays"), (F.count(F.lit(1)) > 1).alias("__several"))
+    judged, _ = ws.stage(judged.withColumnRenamed("key", "__key"), "mh-judged")
+    few = judged.count() <= BROADCAST_ROWS
+    marked = docs.withColumn("__key", row_key()).join(F.broadcast(judged) if few else judged, "__key", "left")
+    plain = marked.where(F.col("__stays").isNull() | (F.col("__stays") & ~F.col("__several")))
+    one = marked.where(F.col("__stays") & F.col("__several")).withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where(F.col("__r") == 1)
+    return plain.select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return find_components(ws.table(spark, sf_dir, "documents"))

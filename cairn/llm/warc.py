@@ -17,7 +17,6 @@ Defined cases
     null url        a record without target URI
     empty table     a manifest without files; no rows
     extra columns   not written
-`pages` must be a table or a checkpoint: rows are told apart by their place in it.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
@@ -262,13 +261,17 @@ def with_roles(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     Digests alone are grouped (each task sends one row a digest), and only digests that occur more than once are joined back;
     both sides are staged or scanned right before their shuffles, so Spark splits the partition of a digest that many pages have.
     """
-    spark = pages.sparkSession
-    marked = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.monotonically_increasing_id().alias("row"), F.coalesce("html", F.lit("")).cast("binary").alias("p"))
-    digests = marked.select("page_id", "row", F.sha1("p").alias("digest"), F.octet_length("p").alias("n")).where(F.col("n") >= least)
-    copies, _ = ws.stage(digests.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of"), F.col("last.page_id").alias("to"), F.col("last.row").alias("to_row")), "warc-copies")
-    joined = marked.withColumn("digest", F.when(F.octet_length("p") >= least, F.sha1("p"))).drop("p").join(copies, F.col("digest") == F.col("of"), "left")
-    revisit = F.col("to_row").isNotNull() & (F.col("row") != F.col("to_row"))
-    return joined.select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("to")).alias("refers_to"))
+    p = F.coalesce("html", F.lit("")).cast("binary")
+    marked = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.when(F.octet_length(p) >= least, F.sha1(p)).alias("digest"))
+    by_id = marked.where("digest is not null").groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    copies = by_id.groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("last"), F.sum("n").alias("n")).where("n > 1")
+    copies, _ = ws.stage(copies.select(F.col("digest").alias("of"), F.col("last.page_id").alias("to"), (F.col("last.n") > 1).alias("tied")), "warc-copies")
+    joined = marked.join(copies, F.col("digest") == F.col("of"), "left")
+    last = F.col("page_id").eqNullSafe(F.col("to"))
+    # rows that share the largest page_id of a payload are told apart by number; others by the id alone
+    tied = joined.where(F.col("tied") & last).withColumn("revisit", F.row_number().over(Window.partitionBy("digest").orderBy("url")) > 1)
+    rest = joined.where(F.col("of").isNull() | ~(F.col("tied") & last)).withColumn("revisit", F.col("of").isNotNull() & ~last)
+    return rest.unionByName(tied).select("page_id", "url", "html", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("to")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST_BYTES, compressed: bool = False) -> None:
