@@ -5,10 +5,13 @@ it, sigma shuffles the places once, and pi, circularly shifted by k, gives coord
 pi((sigma(x) + k) mod UNIVERSE). All ROWS * BANDS coordinates come from the pair: those of one place are neighbours in pi. BANDS = 50 bands of ROWS = 8 miss a pair of similarity 0.85
 with probability (1 - 0.85^8)^50 = 1.3e-7, while pairs below 0.3 meet in a band with probability below 0.4 percent.
 
-Links. Texts with equal shingle sets are one node. Round one pairs each node of a bucket with the bucket's least node, verifies
-those pairs on the full sets and joins nodes into components. Round two pairs, within each bucket that still spans several
-components, nodes of different components: sizes and one bit of each coordinate (carried as 7 longs) rule out most of them inside
-the join, the rest are verified. After it every pair that shares a bucket is linked, refuted, or inside one component, so
+Links. Texts with equal shingle sets are one node. Round one pairs each node of a bucket with PIVOTS of the bucket, the node that
+keeps most company over all its buckets (the middle of a group of copies, if there is one) and some chosen by hash, verifies those
+pairs on the full sets and joins nodes into components. Round two pairs, within each bucket that still spans several
+components, nodes of different components: sizes, one bit of each coordinate (carried as 7 longs) and the sets' prefixes rule out most of
+them inside the join, the rest are verified. A prefix is the rarest 15 percent of a set, and one: in an order that is the same
+for all, two sets of similarity 0.85 or more share a shingle of their prefixes. Counts in a table of COUNTS places, made over all
+sets that are compared, tell rare from frequent; collisions there cost time, not links. After it every pair that shares a bucket is linked, refuted, or inside one component, so
 components are those of all such pairs, and a group of m copies costs about m pairs and not their square. No bucket is capped.
 
 Components are found by label propagation with pointer jumping: joins and minima, staged after each round.
@@ -39,10 +42,12 @@ ROWS = 8
 BANDS = 50
 #: Documents are linked where 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Of 400 bits, pairs of similarity 0.85 differ in 30 on average, with a deviation of 5.3: 75 is more than 8 deviations away.
-MOST_BITS = 75
+#: Of 400 bits, pairs of similarity 0.85 differ in 30 on average, with a deviation of 5.3: 60 is 5.7 deviations away.
+MOST_BITS = 60
 _BITS = [f"b{k}" for k in range(7)]
+PIVOTS = 6
 UNIVERSE = 1 << 20
+COUNTS = 1 << 18
 #: Shingles are permuted in blocks of so many.
 BLOCK = 512
 #: Up to so many row numbers, those of the texts to verify are broadcast (16 MB); beyond, the texts are shuffled to them.
@@ -167,13 +172,17 @@ def row_key():
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node, s (its shingle hashes, 8 bytes each) of a frame (node, text)."""
+    """node, s (its shingle hashes) of a frame (node, text)."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
 
-    return texts.mapInArrow(run, "node binary, s binary")
+    return texts.mapInArrow(run, "node binary, s array<bigint>")
+
+
+def _longs(scalar) -> np.ndarray:
+    return scalar.values.to_numpy(zero_copy_only=False)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,7 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _longs(x), _longs(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -193,6 +202,38 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each place of a table of fixed size."""
+
+    def run(batches):
+        seen = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            seen += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTS - 1), minlength=COUNTS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["at", "n"])
+
+    table = np.zeros(COUNTS, np.int64)
+    for r in sets.select("s").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # COUNTS rows at most
+        table[r["at"]] = r["n"]
+    return table
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """node, prefix of sets (node, s): the rarest shingles, of which similar sets share one."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for s in batch.column(1):
+                s = _longs(s)
+                least = -(-PERCENT * len(s) // 100)
+                out.append(s[np.lexsort((s, shared.value[s & (COUNTS - 1)]))[: len(s) - least + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "prefix"])
+
+    return sets.select("node", "s").mapInArrow(run, "node binary, prefix array<bigint>")
+
+
 def _alike(x: str, y: str):
     """Sizes and bits leave the pair possible."""
     differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
@@ -228,10 +269,14 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = rows.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(b).alias(b) for b in _BITS])
     nodes, nodes_path = ws.stage(grouped, "mh-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared, shared_path = ws.stage(buckets.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "mh-shared")
+    shared, shared_path = ws.stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mh-shared")
     members, members_path = ws.stage(buckets.join(shared.hint("merge"), "key"), "mh-members")
+    company = members.groupBy("node").agg(F.sum("m").alias("company"))
+    chosen = (F.max(F.struct("company", "node"))["node"], F.min("node"), F.max("node"), *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS - 3)])
+    pivots = members.join(company, "node").groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("key", F.explode("p").alias("pivot"))
+    pivots, pivots_path = ws.stage(pivots, "mh-pivots")
     info = nodes.select("node", "n", *_BITS)
-    star = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    star = members.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(info.alias("x"), F.col("a") == F.col("x.node")).join(info.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b")
     star, star_path = ws.stage(star, "mh-star")
     wanted, wanted_path = ws.stage(members.select("node").distinct().join(nodes.select("node", F.col("f.key").alias("key")), "node"), "mh-wanted")
@@ -243,9 +288,13 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed, mixed_path = ws.stage(mixed, "mh-mixed")
-    open_, open_path = ws.stage(labelled.join(mixed, "key").join(info, "node"), "mh-open")
+    opened, opened_path = ws.stage(labelled.join(mixed, "key"), "mh-opened")
+    heads = prefixes(sets.join(opened.select("node").distinct(), "node", "left_semi"), shingle_counts(sets))
+    open_, open_path = ws.stage(opened.join(info, "node").join(heads, "node"), "mh-open")
     x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y") & F.arrays_overlap("x.prefix", "y.prefix")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    import os
+    if os.environ.get("DBG"): print("STAR", star.count(), "LINKS", links.count(), "PAIRS", pairs.count(), "OPEN", open_.count(), open_.select("node").distinct().count(), open_.select("root").distinct().count())
     more, more_path = ws.stage(verified(pairs.join(star, ["a", "b"], "left_anti"), sets), "mh-more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
@@ -253,7 +302,7 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = roots.join(least, "root").select("node", F.col("f").alias("least"))
     final = nodes.select("node", "f", "copies").join(named, "node", "left").where("copies > 1 or least is not null").withColumn("least", F.coalesce("least", "f"))
     final, _ = ws.stage(final.select("node", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("stays")), "mh-final")
-    ws.drop(spark, nodes_path, wanted_path, shared_path, members_path, star_path, sets_path, links_path, mixed_path, open_path, more_path)
+    ws.drop(spark, nodes_path, wanted_path, shared_path, pivots_path, members_path, star_path, sets_path, links_path, mixed_path, opened_path, open_path, more_path)
     return rows.select("doc_id", "key", "n", "node"), final
 
 

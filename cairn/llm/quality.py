@@ -17,6 +17,8 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,54 +60,57 @@ def base_columns(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tokens(text: str) -> str:
-    return f"regexp_extract_all(coalesce({text}, ''), '{_TOKENS}', 0)"
+def _codes(text: str) -> str:
+    """One 16-bit number for each token: a 65536th of all hashes."""
+    return f"transform(regexp_extract_all(coalesce({text}, ''), '{_TOKENS}', 0), t -> cast(pmod(xxhash64(t), {BUCKETS}L) - 32768 as smallint))"
 
 
-def _grams(tokens: str, buckets: int) -> str:
-    """Buckets of the tokens and of the pairs of neighbours."""
+def _grams(codes: str) -> str:
+    """Buckets of the tokens and of the pairs of neighbours, those of pairs made from the tokens' codes."""
     return (
-        f"concat(transform({tokens}, t -> cast(pmod(xxhash64(t), {buckets}L) as int)), "
-        f"zip_with({tokens}, slice({tokens}, 2, greatest(size({tokens}), 1)), (a, b) -> cast(pmod(xxhash64(a, b), {buckets}L) as int)))"
+        f"concat(transform({codes}, c -> cast(c as int) + 32768), "
+        f"zip_with({codes}, slice({codes}, 2, greatest(size({codes}), 1)), (a, b) -> if(b is null, cast(null as int), cast(pmod(xxhash64(a, b), {BUCKETS}L) as int))))"
     )
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, n over all n-grams of docs: summed within tasks first, so at most `buckets` rows leave each task."""
-    return docs.select(F.expr(_tokens("text")).alias("t")).select(F.explode(F.expr(_grams("t", buckets))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+def coded(docs: DataFrame) -> DataFrame:
+    """doc_id and the codes of the text: the least that has to move where documents meet their labels."""
+    return docs.select("doc_id", F.expr(_codes("text")).alias("t"))
+
+
+def bucket_counts(codes: DataFrame) -> DataFrame:
+    """bucket, n over all n-grams: summed within tasks first, so at most BUCKETS rows leave each task."""
+    return codes.select(F.explode(F.expr(_grams("t"))).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[int]:
+def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[int]:
     """log(p_target / p_raw) of every bucket in millionths, counts raised by one."""
-    raw = bucket_counts(docs, buckets).withColumn("of", F.lit("raw"))
-    good = bucket_counts(docs.select("doc_id", "text").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi"), buckets).withColumn("of", F.lit("good"))
-    both = raw.unionByName(good).groupBy("bucket").pivot("of", ["raw", "good"]).agg(F.sum("n")).na.fill(0)
-    rows = both.toPandas()  # at most `buckets` rows
-    n_raw, n_good = int(rows["raw"].sum()), int(rows["good"].sum())
-    if not n_good:
-        return [0] * buckets
-    import numpy as np
-
-    c = np.zeros((2, buckets))
-    c[0, rows["bucket"]], c[1, rows["bucket"]] = rows["raw"], rows["good"]
-    w = np.log((c[1] + 1) / (n_good + buckets)) - np.log((c[0] + 1) / (n_raw + buckets))
-    return [int(x) for x in np.rint(w * UNIT)]
-
-
-def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, min_score: float = MIN_SCORE) -> DataFrame:
+    raw = bucket_counts(coded(docs)).withColumn("of", F.lit("raw"))
+    good = bucket_counts(coded(docs).join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")).withColumn("of", F.lit("good"))
+    rows = raw.unionByName(good).groupBy("bucket").pivot("of", ["raw", "good"]).agg(F.sum("n")).na.fill(0).collect()  # at most BUCKETS rows
+    n_raw, n_good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
+    weights = [0] * BUCKETS
+    if n_good:
+        for r in rows:
+            weights[r["bucket"]] = round(UNIT * (math.log((r["good"] + 1) / (n_good + BUCKETS)) - math.log((r["raw"] + 1) / (n_raw + BUCKETS))))
+    return weights
+
+
+def score(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs with the base columns, __score and __kept."""
-    table = ",".join(map(str, bucket_weights(docs, labels, buckets)))
+    table = ",".join(map(str, bucket_weights(docs, labels)))
     weights = F.split(F.lit(table), ",").cast("array<bigint>")
-    total = F.aggregate(F.col("__g"), F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b))
+    total = F.aggregate(F.col("__g"), F.lit(0).cast("long"), lambda a, b: a + F.coalesce(F.get(weights, b), F.lit(0)))
+    grams = F.greatest(F.lit(1), 2 * F.size("__t") - 1)
     return (
         base_columns(docs)
-        .withColumn("__t", F.expr(_tokens("text")))
-        .withColumn("__g", F.expr(_grams("__t", buckets)))
-        .withColumn("__score", F.when(F.size("__g") > 0, total / F.size("__g") / F.lit(float(UNIT))).otherwise(F.lit(0.0)))
+        .withColumn("__t", F.expr(_codes("text")))
+        .withColumn("__g", F.expr(_grams("__t")))
+        .withColumn("__score", total / grams / F.lit(float(UNIT)))
         .drop("__t", "__g")
         .withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= min_score))
     )
