@@ -293,8 +293,6 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_, open_path = ws.stage(opened.join(info, "node").join(heads, "node"), "mh-open")
     x, y = open_.alias("x"), open_.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y") & F.arrays_overlap("x.prefix", "y.prefix")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    import os
-    if os.environ.get("DBG"): print("STAR", star.count(), "LINKS", links.count(), "PAIRS", pairs.count(), "OPEN", open_.count(), open_.select("node").distinct().count(), open_.select("root").distinct().count())
     more, more_path = ws.stage(verified(pairs.join(star, ["a", "b"], "left_anti"), sets), "mh-more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
