@@ -925,6 +925,5 @@ def _whole():
 
 @query("stream_fold_available_now", "SELECT 'cnt:' || user_id AS key, count(*) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
 def _(ks):
-    path = f"{ks.sf_dir}/events.parquet"
     steps = lambda s: s.where("event_type = 'click'").select(_user("cnt:"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("delta"), F.lit(None).cast("long").alias("expire_at_ms"))
-    return live.fold_available(ks.spark, path, ks.events().schema, steps)
+    return live.fold_available(ks.spark, ks.sf_dir, ks.events().schema, steps, pattern="events.parquet")

@@ -56,12 +56,12 @@ def counters(stream: DataFrame, expiring: bool = False) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=Counters(), outputStructType=_OUT, outputMode="Update", timeMode="ProcessingTime" if expiring else "None")
 
 
-def fold_available(spark: SparkSession, source: str, schema: StructType, steps) -> DataFrame:
-    """key, value after all Parquet files that match source (a folder or a pattern) have passed through the stream once. steps
+def fold_available(spark: SparkSession, folder: str, schema: StructType, steps, pattern: str = "*.parquet") -> DataFrame:
+    """key, value after all Parquet files of a folder, or those that match pattern, have passed through the stream once. steps
     makes (key, seq, delta, expire_at_ms) of them."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out = shared_folder(spark, "updates")
-    updates = counters(steps(spark.readStream.schema(schema).parquet(source)))
+    updates = counters(steps(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)))
     query = updates.writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", shared_folder(spark, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(_OUT).parquet(f"{out}/batch=*").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
