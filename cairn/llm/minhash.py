@@ -45,7 +45,8 @@ PERCENT = 85
 #: Of 400 bits, pairs of similarity 0.85 differ in 30 on average, with a deviation of 5.3: 60 is 5.7 deviations away.
 MOST_BITS = 60
 _BITS = [f"b{k}" for k in range(7)]
-PIVOTS = 6
+#: Round one only saves work for round two, which settles every pair that is left: a few pivots are enough.
+PIVOTS = 3
 UNIVERSE = 1 << 20
 COUNTS = 1 << 18
 #: Shingles are permuted in blocks of so many.
@@ -272,7 +273,7 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared, shared_path = ws.stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mh-shared")
     members, members_path = ws.stage(buckets.join(shared.hint("merge"), "key"), "mh-members")
     company = members.groupBy("node").agg(F.sum("m").alias("company"))
-    chosen = (F.max(F.struct("company", "node"))["node"], F.min("node"), F.max("node"), *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS - 3)])
+    chosen = (F.max(F.struct("company", "node"))["node"], *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS - 1)])
     pivots = members.join(company, "node").groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("key", F.explode("p").alias("pivot"))
     pivots, pivots_path = ws.stage(pivots, "mh-pivots")
     info = nodes.select("node", "n", *_BITS)
