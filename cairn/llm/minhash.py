@@ -11,7 +11,9 @@ pairs on the full sets and joins nodes into components. Round two pairs, within
 components, nodes of different components: sizes, one bit of each coordinate (carried as 7 longs) and the sets' prefixes rule out most of
 them inside the join, the rest are verified. A prefix is the rarest 15 percent of a set, and one: in an order that is the same
 for all, two sets of similarity 0.85 or more share a shingle of their prefixes. Counts in a table of COUNTS places, made over all
-sets that are compared, tell rare from frequent; collisions there cost time, not links. After it every pair that shares a bucket is linked, refuted, or inside one component, so
+sets that are compared, tell rare from frequent; collisions there cost time, not links. A parity sketch holds, for each of 1024 classes
+of shingles, whether a set has an odd number of them: two sets differ by at least as many shingles as their sketches by bits, which
+rules out pairs just below the threshold. After it every pair that shares a bucket is linked, refuted, or inside one component, so
 components are those of all such pairs, and a group of m copies costs about m pairs and not their square. No bucket is capped.
 
 Components are found by label propagation with pointer jumping: joins and minima, staged after each round.
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ _BITS = [f"b{k}" for k in range(7)]
 PIVOTS = 3
 UNIVERSE = 1 << 20
 COUNTS = 1 << 18
+#: Longs of a set's parity sketch.
+_PARITY = [f"p{k}" for k in range(16)]
 #: Shingles are permuted in blocks of so many.
 BLOCK = 512
 #: Up to so many row numbers, those of the texts to verify are broadcast (16 MB); beyond, the texts are shuffled to them.
@@ -219,27 +224,45 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
     return table
 
 
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """Bit k: the set has an odd number of shingles of class k."""
+    classes = 64 * len(_PARITY)
+    odd = np.bincount(((s.view(np.uint64) * _MULT) >> np.uint64(40)).astype(np.int64) % classes, minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """node, prefix of sets (node, s): the rarest shingles, of which similar sets share one."""
+    """node, prefix, p0..p15 of sets (node, s): the rarest shingles, of which similar sets share one, and the parity sketch."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, odd = [], []
             for s in batch.column(1):
                 s = _longs(s)
                 least = -(-PERCENT * len(s) // 100)
                 out.append(s[np.lexsort((s, shared.value[s & (COUNTS - 1)]))[: len(s) - least + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "prefix"])
+                odd.append(parity_of(s))
+            bits = np.array(odd, np.int64).reshape(len(out), len(_PARITY))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), *[pa.array(bits[:, k]) for k in range(len(_PARITY))]], names=["node", "prefix", *_PARITY])
+
+    return sets.select("node", "s").mapInArrow(run, "node binary, prefix array<bigint>, " + ", ".join(f"{p} bigint" for p in _PARITY))
+
+
+def _differ(x: str, y: str, longs: list[str]):
+    """Bits that differ."""
+    return functools.reduce(operator.add, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in longs])
+
 
-    return sets.select("node", "s").mapInArrow(run, "node binary, prefix array<bigint>")
+def _close(x: str, y: str):
+    """Sets that differ by d shingles are similar enough only if (100 + PERCENT) * d <= (100 - PERCENT) * (sum of their sizes)."""
+    return (100 + PERCENT) * _differ(x, y, _PARITY) <= (100 - PERCENT) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def _alike(x: str, y: str):
     """Sizes and bits leave the pair possible."""
-    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
     fits = (100 * F.col(f"{x}.n") >= PERCENT * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= PERCENT * F.col(f"{x}.n"))
-    return fits & (differ <= MOST_BITS)
+    return fits & (_differ(x, y, _BITS) <= MOST_BITS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,7 +316,7 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = prefixes(sets.join(opened.select("node").distinct(), "node", "left_semi"), shingle_counts(sets))
     open_, open_path = ws.stage(opened.join(info, "node").join(heads, "node"), "mh-open")
     x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y") & F.arrays_overlap("x.prefix", "y.prefix")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y") & _close("x", "y") & F.arrays_overlap("x.prefix", "y.prefix")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more, more_path = ws.stage(verified(pairs.join(star, ["a", "b"], "left_anti"), sets), "mh-more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
