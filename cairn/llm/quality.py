@@ -117,7 +117,7 @@ def score(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, labels).where("__kept").select(*docs.columns)
+    return ws.only(score(docs, labels), F.col("__kept")).select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFram
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, labels).where(~F.col("__toxic")).select(*docs.columns)
+    return ws.only(score(docs, labels), ~F.col("__toxic")).select(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

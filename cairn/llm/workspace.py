@@ -48,6 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(df: DataFrame, flag: Column) -> DataFrame:
+    """Rows whose flag is true. A plain filter would be pushed down through the projections that flag comes from, and their shared
+    steps computed anew wherever the filter mentions them; what a generator makes stays above them, so they are computed once."""
+    return df.withColumn("__only", F.explode(F.array(flag))).where("__only").drop("__only")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text (null: 0): what is left when each word shrinks to one letter and the gaps go."""
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), GAP, "")).cast("long")
