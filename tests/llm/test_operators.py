@@ -278,6 +278,12 @@ def test_licenses(spark, odd, empty):
     assert licenses.find_licenses(odd).count() == licenses.find_licenses(empty).count() == 0
 
 
+def test_licenses_cue_of_two_words(spark):
+    text = f"some words before\n{licenses.TEMPLATES['Unlicense']}\nand after"
+    found = licenses.find_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.license, r.exact, text[r.begin : r.end] + ".") for r in found] == [("Unlicense", True, licenses.TEMPLATES["Unlicense"])]
+
+
 def test_neighbours_recall_and_scores(spark):
     table = ws.table(spark, SF, "embeddings")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect() if r.embedding is not None and len(r.embedding) and np.isfinite(np.array(r.embedding, float)).all() and np.any(r.embedding)]
