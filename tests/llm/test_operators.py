@@ -284,6 +284,27 @@ def test_licenses_cue_of_two_words(spark):
     assert [(r.license, r.exact, text[r.begin : r.end] + ".") for r in found] == [("Unlicense", True, licenses.TEMPLATES["Unlicense"])]
 
 
+def test_licenses_in_long_lines_and_side_by_side(spark):
+    around = " ".join(f"word{k}" for k in range(150))
+    texts = [f"{around} {text} {around}" for text in licenses.TEMPLATES.values()]
+    # one differing word in each that may have one, all in one line
+    near = [re.sub(r"\w+", "zzz", text, count=1) if licenses.MAX_DIFFERENT * len(licenses.plain_words(text)) >= 1 else text for text in licenses.TEMPLATES.values()]
+    rows = [*enumerate([*texts, " ".join(licenses.TEMPLATES.values()), " ".join(near)])]
+    found = defaultdict(list)
+    for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id].append((r.begin, r.license, r.exact, r.n_differ))
+    names = list(licenses.TEMPLATES)
+    assert [[(name, exact) for _, name, exact, _ in sorted(found[i])] for i in range(len(names))] == [[(name, True)] for name in names]
+    assert [(name, exact) for _, name, exact, _ in sorted(found[len(names)])] == [(name, True) for name in names]
+    assert [(name, n) for _, name, _, n in sorted(found[len(names) + 1])] == [(name, int("zzz" in text)) for name, text in zip(names, near)]
+
+
+def test_licenses_no_notice_without_a_cue():
+    for text in licenses.TEMPLATES.values():
+        words = [w for w, *_ in licenses.plain_words(text)]
+        assert sum(bool(re.search(licenses.CUES, w)) for w in words) > licenses.MAX_DIFFERENT * len(words)
+
+
 def test_neighbours_recall_and_scores(spark):
     table = ws.table(spark, SF, "embeddings")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect() if r.embedding is not None and len(r.embedding) and np.isfinite(np.array(r.embedding, float)).all() and np.any(r.embedding)]
