@@ -5,23 +5,50 @@ hincrby, zincrby), membership (sadd, srem, hdel, zrem), and those whose order ma
 The first four are aggregates that Spark combines before it shuffles; only keys with a command of the last class are replayed,
 each by itself, in Python. A delete or flush makes everything before it void, which is one filter against the last of them.
 
-A log is (seq, cmd, key, args array<string>), seq unique.
+A log is (seq, cmd, key, args array<string>), seq unique. The folds read the commands of COVERED; any other one, such as those that
+read one key to write another (rename, copy, rpoplpush, msetnx, stores of set algebra) or that pick at random (spop), raises.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESETS = ("del", "getdel")
 FLUSHES = ("flushdb", "flushall")
+STRINGS = ("set", "setnx", "getset", "incr", "decr", "incrby", "decrby")
+ZSETS = ("zadd", "zincrby", "zrem")
 #: Commands that only a replay in order can answer.
-ORDERED = ("lpush", "lpop", "rpop", "lrem", "lset", "linsert", "ltrim", "append", "setrange", "zpopmin")
+LISTS_ORDERED = ("lpush", "lpop", "rpop", "lrem", "lset", "linsert", "ltrim")
+STRINGS_ORDERED = ("append", "setrange")
+ZSETS_ORDERED = ("zpopmin", "zremrangebyrank", "zremrangebyscore", "zremrangebylex")
+ORDERED = LISTS_ORDERED + STRINGS_ORDERED
+COVERED = (*RESETS, *FLUSHES, *STRINGS, *ORDERED, "rpush", "hset", "hmset", "hsetnx", "hincrby", "hdel", "sadd", "srem", *ZSETS, *ZSETS_ORDERED, "pexpireat", "persist")
+#: Parts that a key's rows are dealt to where they meet the keys to be replayed.
+PARTS = 16
+
+
+def covered(log: DataFrame) -> DataFrame:
+    """The log; a command that no fold reads raises."""
+    unknown = F.raise_error(F.concat(F.lit("no fold for the command "), F.coalesce("cmd", F.lit("null")))).cast("string")
+    return log.withColumn("cmd", F.when(F.col("cmd").isin(*COVERED), F.col("cmd")).otherwise(unknown))
+
+
+def _split(rows: DataFrame, commands: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """rows of keys without any of commands, and rows of keys with some. A large key is dealt to PARTS tasks."""
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
+    keys = rows.where(F.col("cmd").isin(*commands)).select("key").distinct().select("key", F.explode(parts).alias("part"))
+    dealt = rows.withColumn("part", F.pmod(F.col("seq").cast("long"), F.lit(PARTS).cast("long")))
+    return dealt.join(keys, ["key", "part"], "left_anti").drop("part"), dealt.join(keys, ["key", "part"], "left_semi").drop("part")
 
 
 def effective(log: DataFrame) -> DataFrame:
     """The log without what a later delete of its key or flush of the database undoes, and without those."""
+    log = covered(log)
     flushed = log.where(F.col("cmd").isin(*FLUSHES)).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("flushed"))  # one row
     rows = log.where(~F.col("cmd").isin(*FLUSHES)).join(F.broadcast(flushed), F.col("seq") > F.col("flushed")).drop("flushed")
     resets = rows.where(F.col("cmd").isin(*RESETS) | ((F.col("cmd") == "set") & (F.size("args") == 1))).groupBy("key").agg(F.max("seq").alias("reset"))
@@ -30,8 +57,9 @@ def effective(log: DataFrame) -> DataFrame:
 
 
 def strings(log: DataFrame) -> DataFrame:
-    """key, value of set, setnx, getset and counters: the last full write, and what was added since."""
-    rows = log.where(F.col("cmd").isin("set", "setnx", "getset", "incr", "decr", "incrby", "decrby"))
+    """key, value of set, setnx, getset and counters: the last full write, and what was added since. Keys with append or setrange
+    are replayed."""
+    rows, edited = _split(covered(log).where(F.col("cmd").isin(*STRINGS, *STRINGS_ORDERED)), STRINGS_ORDERED)
     number = F.when(F.col("cmd") == "incr", 1).when(F.col("cmd") == "decr", -1).when(F.col("cmd") == "incrby", F.col("args")[0].try_cast("long")).when(F.col("cmd") == "decrby", -F.col("args")[0].try_cast("long"))
     # a setnx writes only where it opens the key's history
     opens = F.row_number().over(Window.partitionBy("key").orderBy("seq")) == 1
@@ -39,7 +67,8 @@ def strings(log: DataFrame) -> DataFrame:
     base = F.max(F.when(F.col("w"), F.col("seq"))).over(Window.partitionBy("key"))
     rows = rows.withColumn("base", base)
     out = rows.groupBy("key").agg(F.max(F.when(F.col("seq") == F.col("base"), F.col("args")[0])).alias("text"), F.try_sum(F.when(F.col("base").isNull() | (F.col("seq") > F.col("base")), F.col("d"))).alias("added"))
-    return out.select("key", F.when(F.col("added").isNull(), F.col("text")).otherwise(F.try_add(F.coalesce(F.col("text").try_cast("long"), F.lit(0)), F.col("added")).cast("string")).alias("value"))
+    plain = out.select("key", F.when(F.col("added").isNull(), F.col("text")).otherwise(F.try_add(F.coalesce(F.col("text").try_cast("long"), F.lit(0)), F.col("added")).cast("string")).alias("value"))
+    return plain.unionByName(_replayed(edited).where("pos < 0").select("key", F.col("val").alias("value")))
 
 
 def hashes(log: DataFrame) -> DataFrame:
@@ -47,7 +76,7 @@ def hashes(log: DataFrame) -> DataFrame:
     pairs = F.when(F.col("cmd") == "hdel", F.transform("args", lambda f: F.struct(f.alias("f"), F.lit(None).cast("string").alias("v")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("args") / 2).cast("int") - 1)), lambda i: F.struct(F.get("args", 2 * i).alias("f"), F.get("args", 2 * i + 1).alias("v")))
     )
-    rows = log.where(F.col("cmd").isin("hset", "hmset", "hsetnx", "hincrby", "hdel")).select("key", "seq", "cmd", F.posexplode(pairs).alias("nth", "p")).select("key", "seq", "cmd", "nth", F.col("p.f").alias("field"), F.col("p.v").alias("val"))
+    rows = covered(log).where(F.col("cmd").isin("hset", "hmset", "hsetnx", "hincrby", "hdel")).select("key", "seq", "cmd", F.posexplode(pairs).alias("nth", "p")).select("key", "seq", "cmd", "nth", F.col("p.f").alias("field"), F.col("p.v").alias("val"))
     at = F.struct("seq", "nth")
     w = Window.partitionBy("key", "field")
     gone = F.max(F.when(F.col("cmd") == "hdel", at)).over(w)
@@ -63,12 +92,14 @@ def hashes(log: DataFrame) -> DataFrame:
 
 def sets(log: DataFrame) -> DataFrame:
     """key, member: the last of sadd and srem decides."""
-    rows = log.where(F.col("cmd").isin("sadd", "srem")).select("key", "seq", "cmd", F.explode("args").alias("member"))
+    rows = covered(log).where(F.col("cmd").isin("sadd", "srem")).select("key", "seq", "cmd", F.explode("args").alias("member"))
     return rows.groupBy("key", "member").agg(F.max_by("cmd", "seq").alias("last")).where("last = 'sadd'").select("key", "member")
 
 
 def zsets(log: DataFrame) -> DataFrame:
-    """key, member, score of zadd (score, member pairs), zincrby (delta, member) and zrem."""
+    """key, member, score of zadd (score, member pairs), zincrby (delta, member) and zrem. Keys with zpopmin or a range removal are
+    replayed."""
+    log, cut = _split(covered(log).where(F.col("cmd").isin(*ZSETS, *ZSETS_ORDERED)), ZSETS_ORDERED)
     pairs = F.when(F.col("cmd") == "zrem", F.transform("args", lambda m: F.struct(m.alias("m"), F.lit(None).cast("string").alias("s")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("args") / 2).cast("int") - 1)), lambda i: F.struct(F.get("args", 2 * i + 1).alias("m"), F.get("args", 2 * i).alias("s")))
     )
@@ -76,22 +107,41 @@ def zsets(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("key", "member")
     rows = rows.withColumn("gone", F.max(F.when(F.col("cmd") == "zrem", F.col("at"))).over(w)).where("gone is null or at > gone")
     rows = rows.withColumn("base", F.max(F.when(F.col("cmd") == "zadd", F.col("at"))).over(w))
-    return rows.where("base is null or at >= base").groupBy("key", "member").agg(F.sum("score").alias("score"))
+    plain = rows.where("base is null or at >= base").groupBy("key", "member").agg(F.sum("score").alias("score"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        scores = replay_scores([(c, list(a)) for c, a in zip(pdf.cmd, pdf.args)])
+        return pd.DataFrame([(pdf.key.iloc[0], m, x) for m, x in scores.items()], columns=["key", "member", "score"])
+
+    return plain.unionByName(cut.select("key", "seq", "cmd", "args").groupBy("key").applyInPandas(run, "key string, member string, score double"))
 
 
 def expiries(log: DataFrame) -> DataFrame:
     """key, expire_at_ms of pexpireat and persist; a plain set clears it too."""
-    rows = log.where(F.col("cmd").isin("pexpireat", "persist", "set", "getset"))
+    rows = covered(log).where(F.col("cmd").isin("pexpireat", "persist", "set", "getset"))
     at = F.when(F.col("cmd") == "pexpireat", F.col("args")[0].try_cast("long"))
     return rows.groupBy("key").agg(F.max_by(at, "seq").alias("expire_at_ms")).where("expire_at_ms is not null")
 
 
 def appended_lists(log: DataFrame) -> DataFrame:
     """key, pos, val of keys that only ever saw rpush: no replay needed."""
-    rows = log.where(F.col("cmd") == "rpush").select("key", "seq", F.posexplode("args").alias("nth", "val"))
+    rows = covered(log).where(F.col("cmd") == "rpush").select("key", "seq", F.posexplode("args").alias("nth", "val"))
     return rows.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("seq", "nth")) - 1).cast("long").alias("pos"), "val")
 
 
+def lists(log: DataFrame) -> DataFrame:
+    """key, pos, val of every key with list commands; only those with others than rpush are replayed."""
+    pushed, edited = _split(covered(log).where(F.col("cmd").isin("rpush", *LISTS_ORDERED)), LISTS_ORDERED)
+    return appended_lists(pushed).unionByName(_replayed(edited).where("pos >= 0"))
+
+
+def _integer(text: str) -> int | None:
+    """A 64-bit integer, or None."""
+    n = int(text) if re.fullmatch(r"[+-]?[0-9]{1,19}", text) else None
+    return n if n is not None and -(2**63) <= n < 2**63 else None
+
+
 def replay(commands: list[tuple[str, list[str]]]) -> tuple[list[str], str | None]:
     """A list and a string from one key's commands in order. Unknown or ill-formed ones change nothing."""
     items: list[str] = []
@@ -126,15 +176,54 @@ def replay(commands: list[tuple[str, list[str]]]) -> tuple[list[str], str | None
             at, put = int(args[0]), args[1]
             old = (text or "").ljust(at, "\0")
             text = old[:at] + put + old[at + len(put) :]
-        elif cmd == "set":
+        elif cmd in ("set", "getset") or (cmd == "setnx" and text is None):
             text = args[0]
+        elif cmd in ("incr", "decr", "incrby", "decrby"):
+            old, step = 0 if text is None else _integer(text), _integer(args[0]) if cmd.endswith("by") else 1
+            if old is not None and step is not None:
+                new = old - step if cmd.startswith("decr") else old + step
+                text = str(new) if -(2**63) <= new < 2**63 else text
     return items, text
 
 
-def ordered(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lists (key, pos, val) and strings (key, value) of keys with commands whose order matters: each key is one group."""
-    keys = log.where(F.col("cmd").isin(*ORDERED)).select("key").distinct()
-    rows = log.where(F.col("cmd").isin(*ORDERED, "rpush", "set")).join(keys, "key", "left_semi").select("key", "seq", "cmd", "args")
+def replay_scores(commands: list[tuple[str, list[str]]]) -> dict[str, float]:
+    """member to score from one key's sorted-set commands in order; ranks are by score, then member."""
+    from cairn.operators.zsets import border
+
+    scores: dict[str, float] = {}
+    for cmd, args in commands:
+        gone: list[str] = []
+        if cmd in ("zadd", "zincrby"):
+            for text, member in zip(args[::2], args[1::2]):
+                try:
+                    score = float(text)
+                except ValueError:
+                    continue
+                if not math.isnan(score):
+                    scores[member] = score + (scores.get(member, 0.0) if cmd == "zincrby" else 0.0)
+        elif cmd == "zrem":
+            gone = args
+        elif cmd == "zpopmin":
+            gone = sorted(scores, key=lambda m: (scores[m], m))[: max(0, int(args[0]) if args else 1)]
+        elif cmd == "zremrangebyrank":
+            n, (a, b) = len(scores), map(int, args[:2])
+            a, b = max(0, a + n if a < 0 else a), b + 1 + (n if b < 0 else 0)
+            gone = sorted(scores, key=lambda m: (scores[m], m))[a : max(a, b)]
+        elif cmd == "zremrangebyscore":
+            (a, a_open), (b, b_open) = border(args[0]), border(args[1])
+            gone = [m for m, x in scores.items() if (x > a if a_open else x >= a) and (x < b if b_open else x <= b)]
+        elif cmd == "zremrangebylex":
+            low, high = args[:2]
+            above = lambda m: low == "-" or (low[:1] == "[" and m >= low[1:]) or (low[:1] == "(" and m > low[1:])
+            below = lambda m: high == "+" or (high[:1] == "[" and m <= high[1:]) or (high[:1] == "(" and m < high[1:])
+            gone = [m for m in scores if above(m) and below(m)]
+        for member in gone:
+            scores.pop(member, None)
+    return scores
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    """key, pos, val of lists, and of strings with pos -1: each key is one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -144,7 +233,15 @@ def ordered(log: DataFrame) -> tuple[DataFrame, DataFrame]:
             out.append((pdf.key.iloc[0], -1, text))
         return pd.DataFrame(out, columns=["key", "pos", "val"])
 
-    done = rows.groupBy("key").applyInPandas(run, "key string, pos long, val string")
+    return rows.select("key", "seq", "cmd", "args").groupBy("key").applyInPandas(run, "key string, pos long, val string")
+
+
+def ordered(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lists (key, pos, val) and strings (key, value) of keys with commands whose order matters."""
+    log = covered(log)
+    keys = log.where(F.col("cmd").isin(*ORDERED)).select("key").distinct()
+    rows = log.where(F.col("cmd").isin(*ORDERED, "rpush", *STRINGS)).join(keys, "key", "left_semi")
+    done = _replayed(rows)
     return done.where("pos >= 0"), done.where("pos < 0").select("key", F.col("val").alias("value"))
 
 
