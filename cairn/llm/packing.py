@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "width": pa.int32(), "ids": pa.binary()}
 
     def run(batches):
-        e = tokens.encoder(path)
+        e = tokens.Encoder(path)
         end = np.array([end_id], e.dtype).tobytes()
         for batch in batches:
             rows, held = [], 0

@@ -187,7 +187,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches):
-        e = tokens.encoder(path)
+        e = tokens.Encoder(path)
         end = np.array([end_id], e.dtype).tobytes()
         for batch in batches:
             made, held, first = [], 0, 0

@@ -1,9 +1,10 @@
 """Token ids of whole texts by the tokenizers library, quickly.
 
-The library re-reads every word it meets. Both vocabularies cut a text into pieces before they merge anything, and pieces don't
-influence each other, so this encoder asks the library once for each distinct piece and keeps the answer. Texts with characters
-outside printable ASCII and Latin-1 (where Python's and the library's character classes could differ), or with spaces before
-other white space, take slower ways to the same ids: the tests hold all of them against encoding the whole text.
+Both vocabularies cut a text into pieces before they merge anything, and pieces don't influence each other, so this encoder cuts
+the text itself and hands each distinct piece to the library's own merge model. Texts with characters outside printable ASCII and
+Latin-1 (where Python's and the library's character classes could differ), with what could be a special token, or of a vocabulary
+of another kind are given to the library whole. The tests hold all of them against encoding the whole text by an untouched
+tokenizer, special tokens' strings included.
 """
 
 from __future__ import annotations
@@ -15,55 +16,72 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct chunks and pieces that one worker remembers; beyond that, they are encoded anew each time. About 100 MB each.
-REMEMBERED = 500_000
-#: Longer chunks aren't remembered.
+#: Bytes that one task's memory of pieces may take; once full, it starts anew.
+REMEMBERED_BYTES = 24 << 20
+#: Longer pieces aren't remembered.
 LONGEST = 48
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _UNSAFE = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]|<\|")
-_LOOSE_SPACE = re.compile(r" (?=\s|$)")
 # The pieces into which the two public vocabularies cut a text, for the safe characters.
 _BYTE_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
 _WORD_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 
 
-class _Memo(dict):
-    """Answers of f, up to a number of them."""
+class Memo(dict):
+    """Answers of f by text, within a number of bytes. Hold one for each task: it goes with the task."""
 
-    def __init__(self, f):
+    #: What an entry takes besides its characters: two object heads and its share of the table.
+    ENTRY = 136
+
+    def __init__(self, f, most: int = REMEMBERED_BYTES):
         super().__init__()
-        self.f = f
+        self.f, self.most, self.held = f, most, 0
 
-    def __missing__(self, key):
+    def __missing__(self, key: str):
         value = self.f(key)
-        if len(key) <= LONGEST and len(self) < REMEMBERED:
+        if len(key) <= LONGEST:
+            self.held += self.ENTRY + 2 * len(key)
+            if self.held > self.most:
+                self.clear()
+                self.held = self.ENTRY + 2 * len(key)
             self[key] = value
         return value
 
 
+@functools.cache
+def _stand_ins() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable and no space, else the next
+    one from 256 up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+@functools.cache
+def _loaded(path: str) -> tuple[Tokenizer, str]:
+    """The tokenizer and the kind of its cuts: of a fixed size, once for each worker process."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    normal, cut = made.get("normalizer"), made.get("pre_tokenizer") or {}
+    kind = "other"
+    if normal is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space"):
+        kind = "byte"
+    elif normal and [x.get("type") for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Sequence":
+        kind = "word"
+    return Tokenizer.from_file(path), kind
+
+
 class Encoder:
-    """ids of a text, without special tokens, as little-endian numbers of `width` bytes."""
+    """ids of a text, without added special tokens, as little-endian numbers of `width` bytes. Make one for each task."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer, self.kind = _loaded(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        with open(path, encoding="utf-8") as file:
-            made = json.load(file)
-        normal, cut = made.get("normalizer"), made.get("pre_tokenizer") or {}
-        self.kind = "other"
-        if normal is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space"):
-            self.kind = "byte"
-        elif normal and [x.get("type") for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Sequence":
-            self.kind = "word"
-        self.pieces = _Memo(self._ask)
-        find = (_WORD_PIECE if self.kind == "word" else _BYTE_PIECE).findall
-        join, piece = b"".join, self.pieces.__getitem__
-        self.chunks = _Memo(lambda chunk: join(map(piece, find(chunk))))
-        self.spaced = _Memo(lambda chunk: join(map(piece, find(" " + chunk))))
+        self.find = (_WORD_PIECE if self.kind == "word" else _BYTE_PIECE).findall
+        merge, table, width = self.tokenizer.model.tokenize, _stand_ins(), self.width
+        self.pieces = Memo(lambda piece: b"".join([t.id.to_bytes(width, "little") for t in merge(piece.encode().decode("latin-1").translate(table))]))
 
     def _ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -71,18 +89,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.kind == "other" or _UNSAFE.search(text):
             return self._ask(text)
-        if self.kind == "word":
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
-        if _LOOSE_SPACE.search(text):
-            return b"".join(map(self.pieces.__getitem__, _BYTE_PIECE.findall(text)))
-        first, *rest = text.split(" ")
-        return self.chunks[first] + b"".join(map(self.spaced.__getitem__, rest))
-
-
-@functools.cache
-def encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    return Encoder(path)
+        return b"".join(map(self.pieces.__getitem__, self.find(text.lower() if self.kind == "word" else text)))
 
 
 def wide(ids: bytes, width: int) -> bytes:

@@ -202,12 +202,24 @@ def test_mixing_reaches_targets(docs, odd, empty):
 def test_encoder_equals_the_library(docs, name):
     path = public_tokenizers.path(name)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    e = tokens.encoder(path)
+    e = tokens.Encoder(path)
     for text in [r.text or "" for r in docs.select("text").collect()] + ["", " ", "a  b\n\n c", "it's I'LL", "naïve Ünïcode", "日本 語", "<|endoftext|> x", "a b", "x" * 300, "İ K"]:
         assert np.frombuffer(e.encode(text), e.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_give_their_ids():
+    """As the library gives them by default."""
+    ids = lambda name, text: np.frombuffer((e := tokens.Encoder(public_tokenizers.path(name))).encode(text), e.dtype).tolist()
+    assert ids("byte_bpe_50k.json", "x <|endoftext|> y") == [87, 220, 50256, 331]
+    assert ids("word_bpe_49k.json", "x <|endoftext|> y") == [343, 49407, 344]
+
+
+def test_memo_stays_within_its_bytes():
+    memo = tokens.Memo(len, most=20_000)
+    assert [memo[f"piece {i}"] for i in (*range(500), *range(500))] == [len(f"piece {i}") for i in (*range(500), *range(500))]
+    assert 0 < memo.held <= 20_000 and len(memo) < 150
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -216,7 +228,6 @@ def test_records_round_trip(spark, docs, odd, empty):
     path = ws.new_path(spark, "t")
     records.write_records(docs, path)
     library = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER))
-    library.encode_special_tokens = True
     at, expected = 0, []
     for r in docs.orderBy("doc_id").collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids + [2]
@@ -333,7 +344,6 @@ def test_neighbours_odd_vectors(spark):
 
 def test_packing(docs, odd, empty):
     library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    library.encode_special_tokens = True
     for frame in (docs, odd):
         rows = packing.pack(frame, items_per_shard=64).collect()
         made, bins = defaultdict(list), defaultdict(list)
