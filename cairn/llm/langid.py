@@ -1,6 +1,6 @@
 """Language of texts and of spans within them.
 
-A word is a run of letters. Its script, found in a table of code-point ranges, leaves the languages that training texts write in
+A word is a run of letters, with the marks that stand on them. Its script, found in a table of code-point ranges, leaves the languages that training texts write in
 that script (all of them for a script never seen). Each remaining language scores the word by its letter triples, word ends
 included, hashed to BUCKETS; a Viterbi pass over the words of a text, which pays SWITCH for changing language, labels each word,
 and equal neighbours make a span. A document's language is the one with most letters.
@@ -9,7 +9,8 @@ Training texts are at most about MAX_TRAIN rows outside the evaluation fold (tho
 triples are counted per language in Spark and the table of counts (languages times BUCKETS) is the model.
 
 Defined cases
-    null text, no letter   und, score 0, no spans
+    null text, no letter   und, score 0, no spans (marks alone are no letters)
+    very long texts        read whole; a batch of texts is labelled in parts of about LETTERS characters, never cutting a text
     null lang or doc_id    lang null: not learned from; doc_id null: never held out, predicted like any
     no training rows       every text is und, score 0
     ties                   the language that comes first by code point
@@ -46,14 +47,19 @@ SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armen
            (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE80, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han"))
 
 
+#: Set on marks, which may stand in a word beside its letters but make none.
+MARK = np.uint32(1 << 31)
+
+
 @functools.cache
 def letters() -> np.ndarray:
-    """The lower-case form of each code point below 0x32000 that is a letter or mark, 0 for others."""
+    """The lower-case form of each code point that is a letter, that of a mark with MARK set, 0 for others."""
     out = np.zeros(0x110000, np.uint32)
-    for c in [*range(0xD800), *range(0xE000, 0x32000)]:
-        if unicodedata.category(chr(c))[0] in "LM":
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
             low = chr(c).lower()
-            out[c] = ord(low) if len(low) == 1 else c
+            out[c] = (ord(low) if len(low) == 1 else c) | (int(MARK) if kind == "M" else 0)
     return out
 
 
@@ -71,7 +77,9 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1])) + 1
     table = letters()
     for at, p in zip(begins, points):
-        low[at : at + len(p)] = table[p]
+        read = table[p]
+        if ((read != 0) & (read < MARK)).any():  # a text without any letter has no words
+            low[at : at + len(p)] = read
     at = np.flatnonzero(low)
     if not len(at):
         return (np.empty(0, np.int64),) * 5
@@ -81,7 +89,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     bucket = (h >> np.uint32(16)).astype(np.int64)
     first = np.flatnonzero(low[at - 1] == 0)
     place = at[first]
-    script = _IDS[np.searchsorted(_STARTS, low[place], side="right") - 1]
+    script = _IDS[np.searchsorted(_STARTS, low[place] & ~MARK, side="right") - 1]
     of = np.searchsorted(begins, place, side="right") - 1
     return bucket, first, place - begins[of], script, of
 

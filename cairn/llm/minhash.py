@@ -66,29 +66,7 @@ def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, A-Z lowered."""
     import xxhash
 
-    one = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(_word_memo(one).__getitem__, text.encode("utf-8", "surrogatepass").translate(_LOWER).split()), np.uint64)
-
-
-class _Memo(dict):
-    def __init__(self, f):
-        super().__init__()
-        self.f = f
-
-    def __missing__(self, word):
-        value = self.f(word)
-        if len(self) < 500_000 and len(word) <= 48:
-            self[word] = value
-        return value
-
-
-_memo: list[_Memo] = []
-
-
-def _word_memo(f) -> _Memo:
-    if not _memo:
-        _memo.append(_Memo(f))
-    return _memo[0]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.encode("utf-8", "surrogatepass").translate(_LOWER).split()), np.uint64)
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -10,10 +10,12 @@ none of the three sees what an earlier one was fitted to. Every document is then
 
 Defined cases
     null or empty text      all features 0, scored like any
+    very long texts         read whole, word by word; a word of any length is counted whole
     null doc_id or label    not used for training, but scored
     several labels of an id toxic if any says so
     too few labels          without both labels in some part, all rows serve all three; without both at all, every score is 0
     repeated rows           scored alike
+    ties                    equal features give equal scores; a score of exactly THRESHOLD is toxic
     empty table             no rows
     extra columns           kept by score(); the added ones start with two underscores
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,8 +41,10 @@ MAX_TRAIN = 24_000
 THRESHOLD = 0.7
 TREES, DEPTH, STEP = 20, 4, 0.2
 #: A learned term stands in at least so many and such a share of toxic texts, this much more often (log of the smoothed ratio)
-#: than in others: rarer terms of a small sample tell of chance.
-MIN_TOXIC, MIN_SHARE, MIN_LOG_ODDS, MAX_TERMS = 3, 0.02, 2.5, 2_000
+#: than in others: rarer terms of a small sample tell of chance. As texts are MAX_TRAIN at most, MIN_SHARE also bounds how many there are.
+MIN_TOXIC, MIN_SHARE, MIN_LOG_ODDS = 3, 0.02, 2.5
+#: Bytes that one task's memory of chunks may take.
+REMEMBERED_BYTES = 24 << 20
 NEAR = 6
 
 # Insults and second-person words.
@@ -61,61 +66,81 @@ def terms_of(chunk: str) -> list[str]:
 
 
 class Codes(dict):
-    """One integer for each chunk of a text: bits 0-5 flags, then capped counts in fields of 8 bits, then the weight."""
+    """One integer for each chunk of a text: bits 0-6 flags, then counts in fields of 8 bits (see `tally`), then the weight. Chunks
+    of LONG characters or more carry no counts. Kept within REMEMBERED_BYTES: once full, it starts anew."""
+
+    LONG = 256
 
     def __init__(self, learned: dict[str, float]):
         super().__init__()
-        self.learned = learned
+        self.whole = {t: w for t, w in learned.items() if not t.endswith("*")}
+        self.begun = {t[:-1]: w for t, w in learned.items() if t.endswith("*")}
+        self.held = 0
 
     def __missing__(self, chunk: str) -> int:
-        terms = terms_of(chunk)
-        word = terms[0] if terms else ""
-        weights = [self.learned.get(t, 0.0) for t in terms]
-        odd = bool(_INNER.search(chunk)) or bool(_STRETCH.search(word))
+        word = chunk.strip(_EDGES).lower()
+        whole, begun = self.whole.get(word, 0.0), max([self.begun.get(word[:n], 0.0) for n in range(3, min(9, len(word)))], default=0.0)
+        odd = bool(not chunk.isalpha() and _INNER.search(chunk)) or bool(_STRETCH.search(word))
         plain = _STRETCH.sub(r"\1", chunk.lower().translate(_UNDO)).strip(_EDGES) if odd else word
-        undone = odd and (plain in INSULTS or self.learned.get(plain, 0) > 0)
-        letters = sum(c.isalpha() for c in chunk)
-        upper = sum(c.isupper() for c in chunk)
-        marks = sum(not c.isalnum() for c in chunk)
-        code = (word in INSULTS) | (bool(weights) and weights[0] > 0) << 1 | (max(weights[1:], default=0) > 0) << 2 | (word in SECOND_PERSON) << 3 | odd << 4 | undone << 5
-        code |= min(letters, 255) << 8 | min(upper, 255) << 16 | min(marks, 255) << 24 | min(chunk.count("!"), 255) << 32 | int(min(max(weights, default=0), 20) * 1000) << 40
-        if len(chunk) <= 48 and len(self) < 500_000:
+        undone = odd and (plain in INSULTS or self.whole.get(plain, 0) > 0)
+        letters, upper, marks, exclaimed = tally(chunk)
+        code = (word in INSULTS) | (whole > 0) << 1 | (begun > 0) << 2 | (word in SECOND_PERSON) << 3 | odd << 4 | undone << 5 | (upper == letters > 1) << 6
+        if len(chunk) < self.LONG:
+            code |= letters << 8 | upper << 16 | marks << 24 | exclaimed << 32
+        code |= int(min(max(whole, begun), 20) * 1000) << 40
+        if len(chunk) <= 48:
+            size = 136 + 4 * len(chunk)
+            self.held += size
+            if self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = size
             self[chunk] = code
         return code
 
 
+def tally(chunk: str) -> tuple[int, int, int, int]:
+    """Letters, capitals, marks and exclamation marks of a chunk."""
+    if chunk.isalpha() and chunk.islower():
+        return len(chunk), 0, 0, 0
+    return sum(map(str.isalpha, chunk)), sum(map(str.isupper, chunk)), len(chunk) - sum(map(str.isalnum, chunk)), chunk.count("!")
+
+
 def features(text: str | None, codes: Codes) -> list[float]:
-    c = np.fromiter(map(codes.__getitem__, text.split()), np.int64) if text else np.empty(0, np.int64)
-    n = len(c)
+    """FEATURES of a whole text."""
+    chunks = text.split() if text else []
+    n = len(chunks)
     if not n:
         return [0.0] * len(FEATURES)
+    c = np.fromiter(map(codes.__getitem__, chunks), np.int64, n)
     flag = lambda k: (c >> k) & 1
-    field = lambda k: (c >> k) & 255
-    hit = (c & 0b100111) > 0
-    at, you = np.flatnonzero(hit), np.flatnonzero(flag(3))
+    at, you = np.flatnonzero((c & 0b100111) > 0), np.flatnonzero(flag(3))
     near = 0.0
     if len(at) and len(you):
         k = np.searchsorted(you, at)
         gap = np.minimum(np.abs(at - you[np.minimum(k, len(you) - 1)]), np.abs(at - you[np.maximum(k - 1, 0)]))
         near = float((gap <= NEAR).mean())
-    letters, upper, marks = (int(field(k).sum()) for k in (8, 16, 24))
+    counts = [int(((c >> k) & 255).sum()) for k in (8, 16, 24, 32)]
+    if len(text) >= Codes.LONG + n - 1:  # else no chunk can be so long
+        for chunk in chunks:
+            if len(chunk) >= Codes.LONG:
+                counts = [a + b for a, b in zip(counts, tally(chunk))]
+    letters, upper, marks, exclaimed = counts
     weight = (c >> 40) / 1000.0
     per = 100.0 / n
     return [
         float(np.log1p(n)), flag(0).sum() * per, flag(1).sum() * per, flag(2).sum() * per, float(np.log1p(len(at))), float(weight.sum()) * per, float(weight.max()), flag(3).sum() * per, near,
-        upper / max(letters, 1), ((field(16) == field(8)) & (field(8) > 1)).sum() * per, marks / max(letters + marks, 1), field(32).sum() * per, flag(4).sum() * per, flag(5).sum() * per,
+        upper / max(letters, 1), flag(6).sum() * per, marks / max(letters + marks, 1), exclaimed * per, flag(4).sum() * per, flag(5).sum() * per,
     ]
 
 
 def featured(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
-    """docs with __features."""
-    held: list[Codes] = []
+    """docs with __features. Only the text goes to Python; what a task remembers goes with it."""
 
     @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Codes(learned))
-        return pd.Series([[float(x) for x in features(t, held[0])] for t in texts])
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes = Codes(learned)
+        for texts in batches:
+            yield pd.Series([[float(x) for x in features(t, codes)] for t in texts])
 
     return docs.withColumn("__features", of("text"))
 
@@ -142,8 +167,8 @@ def learn_terms(rows: DataFrame) -> dict[str, float]:
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
     odds = F.log((F.col("t") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("c") + 0.5) / (n.get(0, 0) + 1))
     counted = rows.select("text", "toxic").mapInPandas(count, "term string, toxic int, n bigint").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    best = counted.where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * n.get(1, 0))).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS).orderBy(F.desc("t"), "term").limit(MAX_TERMS)
-    return {r["term"]: float(r["w"]) for r in best.collect()}  # at most MAX_TERMS
+    best = counted.where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * n.get(1, 0))).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS)
+    return {r["term"]: float(r["w"]) for r in best.collect()}  # at most (terms of a text) / MIN_SHARE of them
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:

@@ -168,6 +168,30 @@ def test_toxicity(docs, labels, odd, empty):
     assert toxicity.features("you 1d10t", codes)[14] > 0
 
 
+def plain_features(text, learned):
+    """Counts of toxicity.features by their definitions, character by character."""
+    chunks = (text or "").split()
+    letters = sum(ch.isalpha() for c in chunks for ch in c)
+    marks = sum(not ch.isalnum() for c in chunks for ch in c)
+    shouted = sum(1 < sum(ch.isalpha() for ch in c) == sum(ch.isupper() for ch in c) for c in chunks)
+    words = [c.strip(toxicity._EDGES).lower() for c in chunks]
+    per = 100 / max(1, len(chunks))
+    return {
+        "fixed_density": per * sum(w in toxicity.INSULTS for w in words), "learned_density": per * sum(w in learned for w in words), "you_density": per * sum(w in toxicity.SECOND_PERSON for w in words),
+        "begun_density": per * sum(any(w[:n] + "*" in learned for n in range(3, 9) if n < len(w)) for w in words),
+        "capitals": sum(ch.isupper() for c in chunks for ch in c) / max(letters, 1), "shouted": per * shouted, "punctuation": marks / max(letters + marks, 1), "exclaimed": per * sum(c.count("!") for c in chunks),
+    }
+
+
+def test_toxicity_features_equal_plain_counts(docs):
+    learned = {"bad": 3.0, "ver*": 2.6, "stupid": 4.0}
+    codes = toxicity.Codes(learned)
+    texts = [r.text for r in docs.limit(60).collect()] + ["YOU idiot! " * 3, "A!b" * 5_000, "Ab" * 200 + " " + "!" * 3_000 + " ok", "BAD bad. Very"]
+    for text in texts:
+        found = dict(zip(toxicity.FEATURES, toxicity.features(text, codes)))
+        assert {k: pytest.approx(v) for k, v in plain_features(text, learned).items()} == {k: found[k] for k in plain_features("", learned)}
+
+
 def test_toxicity_learns_nothing_from_the_held_out_fold(docs, labels):
     ids = [r.doc_id for r in docs.select("doc_id").collect()]
     texts = {r.text for r in toxicity.training_rows(docs, labels).select("text").collect()}
@@ -281,6 +305,41 @@ def test_language(docs, odd, empty):
     assert langid.fit(langid.training_rows(empty)).label(["word"]) == [("und", 0.0, [])]
 
 
+def test_language_of_marks_and_rare_letters():
+    counts = np.ones((2, langid.BUCKETS))
+    model = langid.Model(["a", "b"], counts, np.ones((2, len(langid.SCRIPT_NAMES))))
+    found = model.label(["\u0301\u0302 \u0300", "\U00032010", "1 2 !", "e\u0301", ""])
+    assert [f[0] for f in found] == ["und", "a", "und", "a", "und"]
+    assert [f[2] for f in found][3] == [(0, 2, "a")]
+
+
+def test_viterbi_equals_brute_force():
+    """Best of all label sequences of short texts, many texts at once."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    sizes = np.array([1, 4, 6, 2, 5])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    scores = rng.normal(0, 5, (sizes.sum(), 3)).astype(np.float32)
+    path = langid.viterbi(scores, starts, sizes)
+    worth = lambda labels, s: sum(s[i, k] for i, k in enumerate(labels)) - langid.SWITCH * sum(a != b for a, b in zip(labels, labels[1:]))
+    for a, n in zip(starts, sizes):
+        best = max(itertools.product(range(3), repeat=int(n)), key=lambda labels: worth(labels, scores[a : a + n]))
+        assert tuple(path[a : a + n]) == best
+
+
+def test_spans_of_mixed_text(docs):
+    """Two languages in one text: the spans cover both, the boundary is near the seam."""
+    model = langid.fit(langid.training_rows(docs))
+    by = defaultdict(list)
+    for r in docs.where("lang is not null and length(text) > 600").orderBy("doc_id").collect():
+        by[r.lang].append(" ".join(r.text.split())[:400])
+    (one, a), (two, b) = sorted((lang, texts[0]) for lang, texts in by.items())[:2]
+    spans = model.label([f"{a} {b}"])[0][2]
+    share = lambda lang, lo, hi: sum(max(0, min(hi, e) - max(lo, s)) for s, e, x in spans if x == lang) / (hi - lo)
+    assert share(one, 0, len(a)) > 0.7 and share(two, len(a) + 1, len(a) + 1 + len(b)) > 0.7
+
+
 def test_licenses(spark, odd, empty):
     text = "intro\nReleased under the MIT License.\nmiddle\n" + licenses.TEMPLATES["ISC"] + "\nthe end"
     found = licenses.find_licenses(spark.createDataFrame([(1, text), (2, "no notice here"), (3, "your driving license expired")], "doc_id long, text string")).collect()
