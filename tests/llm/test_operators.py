@@ -394,13 +394,32 @@ def test_neighbours_recall_and_scores(spark):
 
 
 def test_neighbours_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 2.0]), (7, [1.0]), (8, [float("inf"), 0.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 2.0]), (7, [1.0]), (8, [float("inf"), 0.0]), (20, [2.0, 1.0, 0.0]), (9, [1.0, 1.0, 1.0]), (0, [1.0, 0.0]), (0, [0.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash")).withColumn("node", F.lit("clash"))
     every = lambda i: F.pmod(i, F.lit(20)) == 0
-    assert sorted((r["rank"], r.vec_id, r.score) for r in neighbours.nearest(table, every).collect()) == [(1, 1, 1.0), (2, 6, 1.0)]
+    # of each length on its own; the two vectors of id 0 are both queries, each candidate with the better of its products
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(table, every).collect()) == [(0, 1, 6, 3.0), (0, 2, 1, 1.0), (20, 1, 9, 3.0)]
     assert neighbours.nearest(table.limit(0), every).count() == 0
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_neighbours_ties_go_to_smaller_ids(spark, back):
+    """60 distinct vectors of one product, listed and numbered in both orders."""
+    n = 60
+    rows = [(0, [1.0] + [0.0] * n)] + [(i, [1.0] + [0.5 if j == (n - i if back else i - 1) else 0.0 for j in range(n)]) for i in range(1, n + 1)]
+    table = spark.createDataFrame(rows[::-1] if back else rows, "vec_id long, embedding array<float>").repartition(7)
+    found = sorted((r["rank"], r.vec_id) for r in neighbours.nearest(table, lambda i: i == 0).collect())
+    assert found == [(i, i) for i in range(1, 21)]
+
+
+def test_neighbours_alone_in_their_runs(spark):
+    """Nodes without edges are compared with all others."""
+    nodes = spark.createDataFrame([(i, np.array([1, i], np.float32).tobytes()) for i in range(6)] + [(9, np.ones(3, np.float32).tobytes())], "node long, v binary")
+    some = spark.createDataFrame([(i, j, 1.0) for i in range(5) for j in range(5) if i != j], "node long, nbr long, score double")
+    found = {(r.node, r.nbr): r.score for r in neighbours.lone_edges(nodes, some).where("node = 5 or nbr = 5").collect()}
+    assert found == {(5, j): 1.0 + 5 * j for j in range(5)} | {(j, 5): 1.0 + 5 * j for j in range(5)}
+
+
 def test_packing(docs, odd, empty):
     library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     for frame in (docs, odd):
