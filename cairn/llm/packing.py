@@ -10,6 +10,7 @@ loosely filled are pooled and evolved once more, so shards cost no sequence each
 
 Defined cases
     null or empty text   the end id alone: a piece of one token
+    very long texts      cut into pieces; pieces leave a task in batches of about BATCH_BYTES
     null doc_id          packed like others, doc_id stays null
     repeated rows        each row has pieces of its own
     ties                 pieces of one length are ordered by their number; random choices are seeded by shard, island, epoch
@@ -34,10 +35,10 @@ LENGTH = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 SHARD_ITEMS = 4096
-ISLANDS = 2
-EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 6
+ISLANDS = 4
+EPOCHS = 4
+POPULATION = 8
+GENERATIONS = 10
 #: Bins filled below this share are pooled over shards and packed again.
 LOOSE = 0.9
 BATCH_BYTES = 16 << 20
@@ -180,6 +181,12 @@ def _island_step(length: int, epoch: int, seed: int):
     return run
 
 
+def migrated(state: DataFrame) -> DataFrame:
+    """shard, island, lens, population: each island with the best individual of the one before it."""
+    elites = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("population", 1, 1).alias("elites"))
+    return state.join(elites, ["shard", "island"]).select("shard", "island", "lens", F.concat("elites", "population").alias("population"))
+
+
 def _grouped(items: DataFrame, length: int, seed: int, items_per_shard: int) -> tuple[DataFrame, list[str]]:
     """pid, length, shard, bin, offset, fill of items (pid, length): the islands' best grouping of each shard."""
     spark = items.sparkSession
@@ -194,8 +201,7 @@ def _grouped(items: DataFrame, length: int, seed: int, items_per_shard: int) ->
     paths = [start_path]
     for epoch in range(EPOCHS):
         if epoch:
-            elites = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("population", 1, 1).alias("elites"))
-            state = state.join(elites, ["shard", "island"]).select("shard", "island", "lens", F.concat("elites", "population").alias("population"))
+            state = migrated(state)
         state, path = ws.stage(state.mapInPandas(_island_step(length, epoch, seed), schema), "pack-islands")
         paths.append(path)
 

@@ -453,5 +453,72 @@ def test_crossover_keeps_every_piece_once():
     assert (child >= 0).all() and packing.fills(lens, child).max() <= 1000
 
 
+def triplets(n, seed, length=packing.LENGTH):
+    """Lengths that fill n sequences by threes, in descending order: best fit in that order misses the optimum."""
+    rng = np.random.default_rng(seed)
+    made = []
+    for _ in range(n):
+        a, b = int(rng.integers(length * 38 // 100, length * 49 // 100)), int(rng.integers(length // 4, length // 3))
+        made += [a, b, length - a - b]
+    return np.array(sorted(made, reverse=True))
+
+
+def islands(lens, migrate=True):
+    """Fewest sequences of all islands after all epochs, as packing's Spark steps seed and order them."""
+    held = [None] * packing.ISLANDS
+    for epoch in range(packing.EPOCHS):
+        if epoch and migrate:
+            held = [[held[i - 1][0], *held[i]] for i in range(len(held))]
+        for i in range(len(held)):
+            rng = np.random.default_rng([1, 0, i, epoch])
+            held[i] = packing.evolve(lens, held[i] or packing.first_population(lens, packing.LENGTH, packing.POPULATION, rng), packing.LENGTH, rng, packing.GENERATIONS, packing.POPULATION)
+    return min(packing.merit(lens, h[0], packing.LENGTH)[0] for h in held)
+
+
+def test_crossover_finds_what_best_fit_misses(monkeypatch):
+    lens = triplets(40, 0)
+    best_fit = packing.merit(lens, packing.first_population(lens, packing.LENGTH, 1, np.random.default_rng(0))[0], packing.LENGTH)[0]
+    found = islands(lens)
+    monkeypatch.setattr(packing, "crossed", lambda lens, a, b, length, rng: a)
+    assert found < islands(lens) <= best_fit
+
+
+def test_migration_finds_what_lone_islands_miss(spark):
+    """Through the Spark steps: without migration no island gets so far."""
+    lens = triplets(80, 1)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lens)], "pid long, length long")
+    laid, _ = packing._grouped(items, packing.LENGTH, 1, packing.SHARD_ITEMS)
+    rows = laid.collect()
+    assert sorted(r.pid for r in rows) == list(range(len(lens)))
+    assert len({r.bin for r in rows}) < islands(lens, migrate=False)
+
+
+def test_packing_of_few_pieces_is_optimal():
+    def fits(lens, n):
+        """Whether lens fit into n sequences, by trying all ways."""
+
+        def place(i, room):
+            if i == len(lens):
+                return True
+            tried = set()
+            for b in range(n):
+                if room[b] >= lens[i] and room[b] not in tried:
+                    tried.add(room[b])
+                    room[b] -= lens[i]
+                    if place(i + 1, room):
+                        return True
+                    room[b] += lens[i]
+            return False
+
+        return place(0, [100] * n)
+
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        lens = np.array(sorted(rng.integers(15, 70, 9), reverse=True))
+        population = packing.first_population(lens, 100, packing.POPULATION, rng)
+        best = packing.evolve(lens, population, 100, rng, packing.GENERATIONS, packing.POPULATION)[0]
+        assert packing.merit(lens, best, 100)[0] == next(n for n in range(1, 10) if fits(lens.tolist(), n))
+
+
 def test_every_operator_is_registered():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in registry.QUERIES] == list(range(1, 11))
