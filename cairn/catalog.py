@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers, routing
 from cairn.operators import bitmaps, geo, hashes, keys, lists, sampling, sets, strings, zsets
-from cairn.plans import fold, transactions
+from cairn.plans import fold, snapshot, transactions
+from cairn.sources import wire
 from cairn.sources.keyspace import AS_OF_MS, KeySpace, epoch_ms
 from cairn.streaming import live
 
@@ -72,14 +73,14 @@ def _user(prefix: str):
 
 
 def _asked(ks: KeySpace) -> DataFrame:
-    """Requests for keys of events, some twice, some for keys that don't exist: key, pos."""
-    e = ks.events().where(F.col("event_id") % 50 == 0)
+    """Requests for the key of each event, and for that of twice its number, which half of the time doesn't exist: key, pos."""
+    e = ks.events()
     return e.select(F.concat(F.lit("evt:"), F.col("event_id").cast("string")).alias("key"), F.col("event_id").alias("pos")).unionByName(
-        e.where(F.col("event_id") % 100 == 0).select(F.concat(F.lit("evt:"), (F.col("event_id") * 2).cast("string")).alias("key"), (-F.col("event_id") - 1).alias("pos"))
+        e.select(F.concat(F.lit("evt:"), (F.col("event_id") * 2).cast("string")).alias("key"), (-F.col("event_id") - 1).alias("pos"))
     )
 
 
-_ASKED = "(SELECT 'evt:' || event_id AS key, event_id AS pos FROM events WHERE event_id % 50 = 0 UNION ALL SELECT 'evt:' || (event_id * 2), -event_id - 1 FROM events WHERE event_id % 100 = 0)"
+_ASKED = "(SELECT 'evt:' || event_id AS key, event_id AS pos FROM events UNION ALL SELECT 'evt:' || (event_id * 2), -event_id - 1 FROM events)"
 
 # ---- key space
 
@@ -109,14 +110,17 @@ def _(ks):
     return keys.type_of(ks.keys(), _asked(ks), AS_OF_MS).select("key", "pos", "type")
 
 
-@query("keys_scan_page")
+_BUCKET = "CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 1024"
+
+
+@query("keys_scan_page", f"WITH b AS (SELECT CAST({_BUCKET} AS INTEGER) AS bucket, key FROM KL WHERE type = 'string' AND key LIKE '%:1%') SELECT bucket, key FROM b WHERE (bucket, key) > (100, '') ORDER BY bucket, key LIMIT 50")
 def _(ks):
     return keys.scan_page(ks.keys(), AS_OF_MS, (100, ""), 50, "*:1*", "string")
 
 
-@query("keys_dbsize", "SELECT count(*) AS n FROM KL")
+@query("keys_dbsize", "SELECT count(*) AS n FROM K")
 def _(ks):
-    return keys.size(ks.keys(), AS_OF_MS)
+    return keys.size(ks.keys())
 
 
 @query("keys_info", f"SELECT type, count(*) AS keys, count(e) AS expires, round(avg(CAST(e - {AS_OF_MS} AS DOUBLE)), 2) AS avg_ttl_ms FROM KL GROUP BY type")
@@ -135,13 +139,13 @@ def _(ks):
 
 
 def _moves(ks: KeySpace) -> DataFrame:
-    """event keys 20k to 20k + 1, and to themselves where k is even in hundreds"""
-    e = ks.events().where(F.col("event_id") % 20 == 0)
+    """Each event key with an even number to the next one, in hundreds to itself: every event is in one move."""
+    e = ks.events().where(F.col("event_id") % 2 == 0)
     k = F.col("event_id")
     return e.select(F.concat(F.lit("evt:"), k.cast("string")).alias("src"), F.concat(F.lit("evt:"), F.when(k % 200 == 0, k).otherwise(k + 1).cast("string")).alias("dst"))
 
 
-_MOVES = "(SELECT 'evt:' || event_id AS src, 'evt:' || CASE WHEN event_id % 200 = 0 THEN event_id ELSE event_id + 1 END AS dst FROM events WHERE event_id % 20 = 0)"
+_MOVES = "(SELECT 'evt:' || event_id AS src, 'evt:' || CASE WHEN event_id % 200 = 0 THEN event_id ELSE event_id + 1 END AS dst FROM events WHERE event_id % 2 = 0)"
 
 
 @query("keys_rename", f"WITH mv AS (SELECT * FROM {_MOVES} WHERE src <> dst AND src IN (SELECT key FROM K)) SELECT key, type, e AS expire_at_ms FROM K WHERE key NOT IN (SELECT dst FROM mv) AND key NOT IN (SELECT src FROM mv) UNION ALL SELECT mv.dst, k.type, k.e FROM mv JOIN (SELECT * FROM K) k ON k.key = mv.src")
@@ -190,16 +194,60 @@ def _(ks):
     return keys.expire(ks.keys(), F.coalesce(F.floor(F.col("expire_at_ms") / 1000) + 60, F.lit(AS_OF_MS // 1000)) * 1000).select("key", "expire_at_ms")
 
 
+@query("ttl_pexpire", f"SELECT key, CAST({AS_OF_MS} + 1500 AS BIGINT) AS expire_at_ms FROM KL")
+def _(ks):
+    return keys.expire(keys.live(ks.keys(), AS_OF_MS), F.lit(AS_OF_MS + 1500)).select("key", "expire_at_ms")
+
+
+@query("ttl_pexpireat", f"SELECT key, CAST(coalesce(e, {AS_OF_MS}) + 250 AS BIGINT) AS expire_at_ms FROM K")
+def _(ks):
+    return keys.expire(ks.keys(), F.coalesce("expire_at_ms", F.lit(AS_OF_MS)) + 250).select("key", "expire_at_ms")
+
+
+def _databases(ks: KeySpace) -> DataFrame:
+    """db, key, type: collections in database 0, and those of nations in database 1 too."""
+    k = ks.typed_keys()
+    return k.select(F.lit(0).alias("db"), "key", "type").unionByName(k.where("type = 'zset'").select(F.lit(1).alias("db"), "key", "type"))
+
+
+_DB = "(SELECT 0 AS db, key, type FROM K WHERE e IS NULL AND key NOT LIKE 'evt:%' UNION ALL SELECT 1, key, type FROM K WHERE type = 'zset')"
+
+
+@query("keys_select_db", f"SELECT key, type FROM {_DB} WHERE db = 1")
+def _(ks):
+    return keys.in_database(_databases(ks), 1)
+
+
+@query("keys_copy_db", f"WITH d AS (SELECT * FROM {_DB}), r AS (SELECT 1 AS db, key, type FROM d WHERE db = 0 AND (1, key) NOT IN (SELECT (db, key) FROM d)) SELECT db, key, type FROM d UNION ALL SELECT * FROM r")
+def _(ks):
+    d = _databases(ks)
+    moves = d.where("db = 0").select(F.col("db").alias("src_db"), F.col("key").alias("src"), F.lit(1).alias("dst_db"), F.col("key").alias("dst"))
+    return keys.copy_between(d, moves)
+
+
+@query("snapshot_save_restore", "SELECT 'strings' AS relation, key, value AS a, CAST(NULL AS VARCHAR) AS b FROM S UNION ALL SELECT 'hashes', key, field, val FROM H UNION ALL SELECT 'sets', key, member, NULL FROM M")
+def _(ks):
+    path = live.shared_folder(ks.spark, "snapshot")
+    snapshot.save({"strings": ks.strings(), "hashes": ks.hashes(), "sets": ks.sets()}, path)
+    held = snapshot.restore(ks.spark, path)
+    none = F.lit(None).cast("string").alias("b")
+    return (
+        held["strings"].select(F.lit("strings").alias("relation"), "key", F.col("value").alias("a"), none)
+        .unionByName(held["hashes"].select(F.lit("hashes").alias("relation"), "key", F.col("field").alias("a"), F.col("val").alias("b")))
+        .unionByName(held["sets"].select(F.lit("sets").alias("relation"), "key", F.col("member").alias("a"), none))
+    )
+
+
 # ---- strings and counters
 
 
 def _parts(ks: KeySpace) -> DataFrame:
-    """Every third part of twice as many as there are, by place: key, pos"""
-    p = ks._t("part").where(F.col("p_partkey") % 3 == 0)
+    """The key of twice the number of each part, which half of the time doesn't exist: key, pos"""
+    p = ks._t("part")
     return p.select(F.concat(F.lit("part:"), (F.col("p_partkey") * 2).cast("string")).alias("key"), F.col("p_partkey").alias("pos"))
 
 
-_PARTS = "(SELECT 'part:' || (p_partkey * 2) AS key, p_partkey AS pos FROM part WHERE p_partkey % 3 = 0)"
+_PARTS = "(SELECT 'part:' || (p_partkey * 2) AS key, p_partkey AS pos FROM part)"
 
 
 @query("str_get_mget", f"SELECT r.key, r.pos, s.value, CASE WHEN s.value IS NULL THEN 'missing' ELSE 'ok' END AS status FROM {_PARTS} r LEFT JOIN (SELECT * FROM S) s ON r.key = s.key")
@@ -240,6 +288,35 @@ def _(ks):
     return strings.mset_nx(ks.strings(), _new(ks)).select("txn", "key", "value")
 
 
+def _mortal(ks: KeySpace) -> DataFrame:
+    """Strings with an expiry where the number is even, some of it past: key, value, expire_at_ms"""
+    k = F.col("p_partkey")
+    at = F.when(k % 2 == 0, F.lit(AS_OF_MS) + (k % 40 - 10) * 1000).cast("long")
+    return ks._t("part").select(F.concat(F.lit("part:"), k.cast("string")).alias("key"), F.col("p_name").alias("value"), at.alias("expire_at_ms"))
+
+
+_MORTAL = f"(SELECT 'part:' || p_partkey AS key, p_name AS value, CAST(CASE WHEN p_partkey % 2 = 0 THEN {AS_OF_MS} + (p_partkey % 40 - 10) * 1000 END AS BIGINT) AS e FROM part)"
+
+
+def _timed(ks: KeySpace) -> DataFrame:
+    return _new(ks).withColumn("ttl", (F.col("pos") % 100).cast("long"))
+
+
+for _name, _unit in (("str_setex", 1000), ("str_psetex", 1)):
+    query(_name, f"WITH w AS (SELECT key, value, CAST({AS_OF_MS} + (pos % 100) * {_unit} AS BIGINT) AS e FROM {_NEW} WHERE pos % 100 > 0) SELECT key, value, e AS expire_at_ms FROM {_MORTAL} WHERE key NOT IN (SELECT key FROM w) UNION ALL SELECT key, value, e FROM w")(
+        lambda ks, unit=_unit: strings.set_expiring(_mortal(ks), _timed(ks), AS_OF_MS, unit)
+    )
+
+
+@query("str_getex", f"""WITH r AS (SELECT key, pos, pos % 6 AS o FROM {_PARTS}), h AS (SELECT * FROM {_MORTAL} WHERE e IS NULL OR e >= {AS_OF_MS})
+    SELECT r.key, r.pos, h.value, CAST(CASE WHEN h.key IS NULL THEN NULL WHEN o = 0 THEN {AS_OF_MS} + r.pos * 1000 WHEN o = 1 THEN {AS_OF_MS} + r.pos WHEN o = 2 THEN r.pos * 1000 WHEN o = 3 THEN r.pos WHEN o = 4 THEN NULL ELSE h.e END AS BIGINT) AS expire_at_ms
+    FROM r LEFT JOIN h ON r.key = h.key""")
+def _(ks):
+    option = F.get(F.array(*[F.lit(o) for o in ("ex", "px", "exat", "pxat", "persist")]), (F.col("pos") % 6).cast("int"))
+    req = _parts(ks).select("key", "pos", option.alias("option"), F.col("pos").cast("long").alias("n"))
+    return strings.get_expiring(_mortal(ks), req, AS_OF_MS).select("key", "pos", "value", "expire_at_ms")
+
+
 def _writes(ks: KeySpace) -> DataFrame:
     return ks.events().select(_user("last:"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
 
@@ -303,6 +380,11 @@ def _(ks):
     return strings.incr_total(_clicks(ks), F.lit(-1).cast("long"))
 
 
+@query("ctr_decrby", "SELECT 'cnt:' || user_id AS key, CAST(-sum(event_id % 7) AS BIGINT) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
+def _(ks):
+    return strings.incr_total(_clicks(ks), -F.col("d"))
+
+
 @query("ctr_incrbyfloat", "SELECT 'cnt:' || user_id AS key, round(sum(value), 2) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
 def _(ks):
     return strings.incr_total(_clicks(ks), F.col("x")).withColumn("value", F.round("value", 2))
@@ -428,6 +510,12 @@ def _(ks):
     return lists.push_right(ks.lists(), new, only_existing=True)
 
 
+@query("list_lpushx", "SELECT key, row_number() OVER (PARTITION BY key ORDER BY z, p) - 1 AS pos, val FROM (SELECT key, 1 AS z, pos AS p, val FROM L UNION ALL SELECT 'user:' || n_nationkey, 0, -i, n_name || i FROM nation, (SELECT unnest([0, 1]) AS i) WHERE 'user:' || n_nationkey IN (SELECT key FROM L))")
+def _(ks):
+    n = ks._t("nation").select(F.concat(F.lit("user:"), F.col("n_nationkey").cast("string")).alias("key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("nth"), "n_name")
+    return lists.push_left(ks.lists(), n.select("key", "nth", F.concat("n_name", F.col("nth").cast("string")).alias("val")), only_existing=True)
+
+
 @query("list_rpoplpush", "WITH mv AS (SELECT 'user:' || n_nationkey AS src, 'moved:' || (n_nationkey % 50) AS dst FROM nation), t AS (SELECT l.key, l.pos, l.val, mv.dst FROM (SELECT * FROM L) l JOIN mv ON mv.src = l.key WHERE l.pos = l.len - 1) SELECT key, pos, val FROM L WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.key = L.key AND t.pos = L.pos) UNION ALL SELECT dst, CAST(0 AS BIGINT), val FROM t")
 def _(ks):
     k = F.col("n_nationkey")
@@ -439,11 +527,11 @@ def _(ks):
 
 
 def _fields(ks: KeySpace) -> DataFrame:
-    c = ks._t("customer").where(F.col("c_custkey") % 10 == 0)
+    c = ks._t("customer")
     return c.select(F.concat(F.lit("customer:"), (F.col("c_custkey") * 2).cast("string")).alias("key"), F.explode(F.array(F.lit("c_name"), F.lit("c_phone"), F.lit("c_acctbal"))).alias("field"))
 
 
-_FIELDS = "(SELECT 'customer:' || (c_custkey * 2) AS key, unnest(['c_name', 'c_phone', 'c_acctbal']) AS field FROM customer WHERE c_custkey % 10 = 0)"
+_FIELDS = "(SELECT 'customer:' || (c_custkey * 2) AS key, unnest(['c_name', 'c_phone', 'c_acctbal']) AS field FROM customer)"
 
 
 @query("hash_hget", f"SELECT r.key, r.field, h.val FROM {_FIELDS} r LEFT JOIN (SELECT * FROM H) h ON r.key = h.key AND r.field = h.field")
@@ -555,10 +643,10 @@ def _(ks):
 
 
 def _members(ks: KeySpace) -> DataFrame:
-    return ks._t("customer").where(F.col("c_custkey") % 7 == 0).select(F.lit(_A).alias("key"), F.col("c_custkey").cast("string").alias("member"))
+    return ks._t("customer").select(F.lit(_A).alias("key"), F.col("c_custkey").cast("string").alias("member"))
 
 
-_MEMBERS = f"(SELECT '{_A}' AS key, CAST(c_custkey AS VARCHAR) AS member FROM customer WHERE c_custkey % 7 = 0)"
+_MEMBERS = f"(SELECT '{_A}' AS key, CAST(c_custkey AS VARCHAR) AS member FROM customer)"
 
 
 @query("set_sismember", f"SELECT r.key, r.member, CAST(m.key IS NOT NULL AS INTEGER) AS found FROM {_MEMBERS} r LEFT JOIN (SELECT * FROM M) m ON r.key = m.key AND r.member = m.member")
@@ -610,10 +698,10 @@ def _(ks):
 
 
 def _some(ks: KeySpace) -> DataFrame:
-    return ks._t("customer").where(F.col("c_custkey") % 9 == 0).select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"), (F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(1_000_000_000)).cast("string").alias("member"))
+    return ks._t("customer").select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"), (F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(1_000_000_000)).cast("string").alias("member"))
 
 
-_SOME = "(SELECT 'nation:' || c_nationkey AS key, CAST(c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1000000000 END AS VARCHAR) AS member FROM customer WHERE c_custkey % 9 = 0)"
+_SOME = "(SELECT 'nation:' || c_nationkey AS key, CAST(c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1000000000 END AS VARCHAR) AS member FROM customer)"
 
 
 @query("z_zrank", f"SELECT q.key, q.member, z.r AS rank FROM {_SOME} q LEFT JOIN (SELECT * FROM ZR) z ON q.key = z.key AND q.member = z.member")
@@ -763,27 +851,32 @@ def _(ks):
 # ---- sampling
 
 
-@query("rand_srandmember")
+@query("rand_srandmember", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('1:' || key || ':' || member), member) AS r FROM M) WHERE r <= 10")
 def _(ks):
     return sampling.sample(ks.sets(), "member", 10, seed=1)
 
 
-@query("rand_srandmember_repeated")
+@query("rand_srandmember_repeated", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS i, count(*) OVER (PARTITION BY key) AS m FROM M), d AS (SELECT DISTINCT key, m, unnest(range(1, 11)) AS draw FROM n), e AS (SELECT key, CAST(draw AS INTEGER) AS draw, CAST('0x' || substr(md5('1:' || key || ':' || draw), 1, 13) AS BIGINT) % m + 1 AS i FROM d) SELECT e.key, e.draw, n.member FROM e JOIN n ON n.key = e.key AND n.i = e.i")
 def _(ks):
     return sampling.sample(ks.sets(), "member", -10, seed=1)
 
 
-@query("rand_spop")
+@query("rand_spop", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('2:' || key || ':' || member), member) AS r FROM M) WHERE r > 5")
 def _(ks):
     return sampling.pop(ks.sets(), "member", 5, seed=2)[1]
 
 
-@query("rand_hrandfield")
+@query("rand_hrandfield", "SELECT key, field, val FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('3:' || key || ':' || field), field) AS r FROM H) WHERE r <= 2")
 def _(ks):
     return sampling.sample(ks.hashes(), "field", 2, seed=3)
 
 
-@query("rand_randomkey")
+@query("rand_hrandfield_repeated", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY field) AS i FROM H), d AS (SELECT DISTINCT key, unnest(range(1, 7)) AS draw FROM n), e AS (SELECT key, CAST(draw AS INTEGER) AS draw, CAST('0x' || substr(md5('3:' || key || ':' || draw), 1, 13) AS BIGINT) % 4 + 1 AS i FROM d) SELECT e.key, e.draw, n.field, n.val FROM e JOIN n ON n.key = e.key AND n.i = e.i")
+def _(ks):
+    return sampling.sample(ks.hashes(), "field", -6, seed=3)
+
+
+@query("rand_randomkey", "SELECT key FROM KL ORDER BY md5('4:' || key), key LIMIT 1")
 def _(ks):
     return keys.random_key(ks.keys(), AS_OF_MS, seed=4)
 
@@ -833,6 +926,35 @@ def _(ks):
     return fold.ordered(log)[0]
 
 
+@query(
+    "log_fold_state",
+    f"WITH k AS ({_KEYED}), d AS (SELECT 'spend' AS key, max(seq) AS reset FROM k WHERE seq % 400 = 0), f AS (SELECT k.* FROM k LEFT JOIN d ON k.key = d.key WHERE d.reset IS NULL OR k.seq > d.reset) "
+    "SELECT 'string' AS type, key, '' AS name, CAST(count(*) AS VARCHAR) AS val FROM f WHERE event_type = 'click' GROUP BY key "
+    "UNION ALL SELECT 'list', key, CAST(row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS VARCHAR), props FROM f WHERE event_type = 'view' "
+    "UNION ALL SELECT 'hash', key, 'ts', CAST(max(seq) AS VARCHAR) FROM f WHERE event_type = 'signup' GROUP BY key "
+    "UNION ALL SELECT DISTINCT 'set', key, CAST(user_id AS VARCHAR), '' FROM f WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup') "
+    "UNION ALL SELECT 'zset', key, CAST(user_id AS VARCHAR), CAST(round(sum(value)) AS BIGINT)::VARCHAR FROM f WHERE event_type = 'purchase' GROUP BY key, user_id",
+)
+def _(ks):
+    """A mixed log written to files, read back and folded into all collections; every 400th command is followed by a delete that
+    names two keys, of which the second is spend."""
+    c = ks.commands()
+    args = F.filter(F.array(*[F.when(F.col("cmd") == "zincrby", F.col(b)).when(F.col("cmd") == "incr", None).otherwise(F.col(a)) for a, b in (("arg1", "arg2"), ("arg2", "arg1"))]), lambda x: x.isNotNull())
+    made = c.select((F.col("seq") * 2).alias("seq"), "cmd", "key", args.alias("args"))
+    gone = c.where("seq % 400 = 0").select((F.col("seq") * 2 + 1).alias("seq"), F.lit("del").alias("cmd"), F.lit("nosuch").alias("key"), F.array(F.lit("spend")).alias("args"))
+    path = live.shared_folder(ks.spark, "log")
+    wire.write_log(made.unionByName(gone).withColumn("db", F.lit(0)).repartitionByRange("seq").sortWithinPartitions("seq"), path)
+    log = fold.effective(wire.in_order(wire.read_log(ks.spark, path)))
+    none = F.lit("")
+    return (
+        fold.strings(log).select(F.lit("string").alias("type"), "key", none.alias("name"), F.col("value").alias("val"))
+        .unionByName(fold.lists(log).select(F.lit("list").alias("type"), "key", F.col("pos").cast("string").alias("name"), "val"))
+        .unionByName(fold.hashes(log).select(F.lit("hash").alias("type"), "key", F.col("field").alias("name"), "val"))
+        .unionByName(fold.sets(log).select(F.lit("set").alias("type"), "key", F.col("member").alias("name"), none.alias("val")))
+        .unionByName(fold.zsets(log).select(F.lit("zset").alias("type"), "key", F.col("member").alias("name"), F.round("score").cast("long").cast("string").alias("val")))
+    )
+
+
 @query("log_compact")
 def _(ks):
     return fold.compact(ks.strings(), ks.lists(), ks.hashes(), ks.sets(), ks.zsets())
@@ -843,17 +965,25 @@ def _(ks):
     return transactions.atomic(ks.commands(), (F.col("cmd") == "sadd") & (F.col("arg1").cast("long") % 10 == 0)).select("seq", "txn", "key")
 
 
-@query("log_watch_conflict", f"WITH k AS ({_KEYED}), w AS (SELECT txn, key, seq % 3 AS version FROM k WHERE seq % 5 = 0), v AS (SELECT key, count(*) AS version FROM k WHERE seq < 500 GROUP BY key) SELECT DISTINCT k.txn FROM k WHERE txn NOT IN (SELECT w.txn FROM w LEFT JOIN v ON w.key = v.key WHERE coalesce(v.version, 0) <> w.version)")
+@query(
+    "log_watch_conflict",
+    f"WITH k AS ({_KEYED}), f AS (SELECT txn, min(seq) AS run_at FROM k GROUP BY txn), w AS (SELECT DISTINCT k.txn, k.key, f.run_at - 5 AS seen_at, f.run_at FROM k JOIN f ON k.txn = f.txn) "
+    "SELECT txn FROM f WHERE txn NOT IN (SELECT w.txn FROM w JOIN k ON k.key = w.key AND k.seq >= w.seen_at AND k.seq < w.run_at)",
+)
 def _(ks):
+    """Each transaction watches all keys that it writes, five commands before its first one."""
     c = ks.commands()
-    watches = c.where("seq % 5 = 0").select("txn", "key", (F.col("seq") % 3).alias("version"))
-    return transactions.without_conflicts(c.select("txn").distinct(), watches, keys.versions(c.where("seq < 500")))
+    first = c.groupBy("txn").agg(F.min("seq").alias("run_at"))
+    watches = c.select("txn", "key").distinct().join(first, "txn").select("txn", "key", (F.col("run_at") - 5).alias("seen_at"), "run_at")
+    return transactions.without_conflicts(first.select("txn"), watches, c)
 
 
-@query("log_validate", f"WITH k AS ({_KEYED}) SELECT seq, CASE WHEN seq % 11 = 0 THEN 'unknown command' WHEN event_type IN ('click', 'view') OR event_type NOT IN ('purchase', 'signup') THEN 'ok' ELSE 'ok' END AS status FROM k")
+@query("log_validate", f"WITH k AS ({_KEYED}) SELECT seq, CASE WHEN seq % 11 = 0 THEN 'unknown command' WHEN seq % 13 = 0 AND event_type NOT IN ('view') THEN CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN 'wrong number of arguments' ELSE 'ok' END ELSE 'ok' END AS status FROM k")
 def _(ks):
+    """Every 13th command has an argument too many: sadd and rpush take any number."""
     log = ks.commands()
     args = F.when(F.col("cmd") == "incr", F.array("key")).when(F.col("cmd").isin("zincrby", "hset"), F.array("key", "arg1", "arg2")).otherwise(F.array("key", "arg1"))
+    args = F.when(F.col("seq") % 13 == 0, F.concat(args, F.array(F.lit("more")))).otherwise(args)
     named = log.select("seq", F.when(F.col("seq") % 11 == 0, "nosuch").otherwise(F.col("cmd")).alias("cmd"), args.alias("args"))
     return transactions.validated(named, ks.spark).select("seq", "status")
 
@@ -896,7 +1026,7 @@ def _(ks):
     return ks._t("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key"), routing.hash_tag(k).alias("tag"))
 
 
-@query("key_dump")
+@query("key_dump", """SELECT key, '[' || string_agg('{"pos":' || pos || ',"val":"' || val || '"}', ',' ORDER BY pos) || ']' AS dump FROM L GROUP BY key""")
 def _(ks):
     return keys.dump(ks.lists(), "pos")
 
@@ -917,6 +1047,29 @@ def _(ks):
     return live.fan_out(ks.events().select(F.col("event_id").alias("seq"), F.col("event_type").alias("channel")), subscriptions).select("seq", "channel", "client")
 
 
+def _subscribed(ks: KeySpace) -> DataFrame:
+    """Each customer listens to the channel of its nation: channel, client"""
+    return ks._t("customer").select(_nation(), F.col("c_custkey").alias("client"))
+
+
+def _nation():
+    return F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("channel")
+
+
+@query("pubsub_subscribe", "SELECT 'nation:' || c_nationkey AS channel, c_custkey AS client FROM customer UNION SELECT 'segment:' || c_mktsegment, c_custkey FROM customer")
+def _(ks):
+    new = ks._t("customer").select(F.concat(F.lit("segment:"), "c_mktsegment").alias("channel"), F.col("c_custkey").alias("client"))
+    return live.subscribe(_subscribed(ks), new.unionByName(_subscribed(ks)))
+
+
+@query("pubsub_unsubscribe", "SELECT 'nation:' || c_nationkey AS channel, c_custkey AS client FROM customer WHERE c_custkey % 5 > 1")
+def _(ks):
+    """One in five leaves its channel, another all of them."""
+    c = ks._t("customer")
+    gone = c.where("c_custkey % 5 < 2").select(F.when(F.col("c_custkey") % 5 == 0, _nation()).alias("channel"), F.col("c_custkey").alias("client"))
+    return live.unsubscribe(_subscribed(ks), gone)
+
+
 def _whole():
     from pyspark.sql import Window
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.patterns import glob
+from cairn.operators.sampling import lot
 
 BUCKETS = 1024
 
@@ -47,7 +48,7 @@ def scan_page(keys: DataFrame, as_of_ms: int, after: tuple[int, str] | None, cou
     found = live(keys, as_of_ms).where(glob(F.col("key"), pattern))
     if kind:
         found = found.where(F.col("type") == kind)
-    found = found.select(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"), "key")
+    found = found.select(F.pmod(F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int").alias("bucket"), "key")
     if after:
         found = found.where((F.col("bucket") > after[0]) | ((F.col("bucket") == after[0]) & (F.col("key") > after[1])))
     return found.orderBy("bucket", "key").limit(count)
@@ -55,13 +56,17 @@ def scan_page(keys: DataFrame, as_of_ms: int, after: tuple[int, str] | None, cou
 
 def rename(keys: DataFrame, moves: DataFrame) -> DataFrame:
     """keys after moves (src, dst): the entity and its expiry move, whatever stood at dst goes. src = dst changes nothing; a
-    missing src leaves dst alone."""
-    real = moves.where("src <> dst").join(keys.select(F.col("key").alias("src")), "src", "left_semi")
+    missing src leaves dst alone. Of several moves to one dst, the one whose src comes first wins."""
+    real = _one_to_each(moves).where("src <> dst").join(keys.select(F.col("key").alias("src")), "src", "left_semi")
     kept = keys.join(real.select(F.col("dst").alias("key")), "key", "left_anti").join(real.select(F.col("src").alias("key")), "key", "left_anti")
     moved = keys.join(real.select(F.col("src").alias("key"), "dst"), "key").drop("key").withColumnRenamed("dst", "key").select(*keys.columns)
     return kept.unionByName(moved)
 
 
+def _one_to_each(moves: DataFrame) -> DataFrame:
+    return moves.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+
+
 def rename_nx(keys: DataFrame, moves: DataFrame, as_of_ms: int) -> DataFrame:
     """rename, only for moves whose dst doesn't live."""
     return rename(keys, moves.join(live(keys, as_of_ms).select(F.col("key").alias("dst")), "dst", "left_anti"))
@@ -69,6 +74,7 @@ def rename_nx(keys: DataFrame, moves: DataFrame, as_of_ms: int) -> DataFrame:
 
 def copy(keys: DataFrame, moves: DataFrame, replace: bool = False) -> DataFrame:
     """keys with copies at dst; without replace, only where dst is free."""
+    moves = _one_to_each(moves)
     free = moves if replace else moves.join(keys.select(F.col("key").alias("dst")), "dst", "left_anti")
     real = free.where("src <> dst").join(keys.select(F.col("key").alias("src")), "src", "left_semi")
     made = keys.join(real.select(F.col("src").alias("key"), "dst"), "key").drop("key").withColumnRenamed("dst", "key").select(*keys.columns)
@@ -114,12 +120,30 @@ def info(keys: DataFrame, as_of_ms: int) -> DataFrame:
     return live(keys, as_of_ms).groupBy("type").agg(F.count(F.lit(1)).alias("keys"), F.count("expire_at_ms").alias("expires"), F.avg(left).alias("avg_ttl_ms"))
 
 
-def size(keys: DataFrame, as_of_ms: int) -> DataFrame:
-    return live(keys, as_of_ms).agg(F.count(F.lit(1)).alias("n"))
+def size(keys: DataFrame) -> DataFrame:
+    """Keys that are held, expired ones that nobody has asked for since included."""
+    return keys.agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_database(relation: DataFrame, n: int) -> DataFrame:
+    """What a session sees after selecting database n: relation has a column db."""
+    return relation.where(F.col("db") == n).drop("db")
+
+
+def copy_between(keys: DataFrame, moves: DataFrame, replace: bool = False) -> DataFrame:
+    """keys (db, key, ...) with copies at (dst_db, dst) of (src_db, src); without replace, only where the destination is free. Of
+    several moves to one destination, the one whose source comes first wins."""
+    real = moves.where((F.col("src") != F.col("dst")) | (F.col("src_db") != F.col("dst_db")))
+    real = real.groupBy("dst_db", "dst").agg(F.min(F.struct("src_db", "src")).alias("s")).select("dst_db", "dst", "s.src_db", "s.src")
+    if not replace:
+        real = real.join(keys.select(F.col("db").alias("dst_db"), F.col("key").alias("dst")), ["dst_db", "dst"], "left_anti")
+    source = keys.withColumnsRenamed({"db": "src_db", "key": "src"})
+    made = source.join(real, ["src_db", "src"]).withColumnsRenamed({"dst_db": "db", "dst": "key"}).select(*keys.columns)
+    return keys.join(made.select("db", "key"), ["db", "key"], "left_anti").unionByName(made)
 
 
 def random_key(keys: DataFrame, as_of_ms: int, seed: int, n: int = 1) -> DataFrame:
-    return live(keys, as_of_ms).select("key").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(n)
+    return live(keys, as_of_ms).select("key").orderBy(lot(seed, "key"), "key").limit(n)
 
 
 def versions(commands: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ def _of_key():
 
 
 def sized(lists: DataFrame) -> DataFrame:
-    """lists with the length of each."""
-    return lists.withColumn("len", F.count(F.lit(1)).over(_of_key()))
+    """lists with the length of each: counted within tasks first and joined, so a long list is not gathered in one task."""
+    return lists.join(lists.groupBy("key").agg(F.count(F.lit(1)).alias("len")), "key")
 
 
 def renumbered(rows: DataFrame, *order: Column) -> DataFrame:

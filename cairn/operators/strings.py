@@ -29,9 +29,31 @@ def first_write(log: DataFrame) -> DataFrame:
 
 
 def set_(strings: DataFrame, new: DataFrame) -> DataFrame:
+    """new has one row a key."""
     return strings.join(new.select("key"), "key", "left_anti").unionByName(new.select("key", "value"))
 
 
+def set_expiring(strings: DataFrame, new: DataFrame, as_of_ms: int, unit_ms: int = 1000) -> DataFrame:
+    """strings (key, value, expire_at_ms) after writes that live for a time: new has (pos, key, value, ttl), ttl in units of unit_ms
+    (1000: seconds, 1: ms). The last write of a key wins; a ttl of 0 or less is refused and changes nothing."""
+    good = new.where(F.col("ttl") > 0)
+    last = good.groupBy("key").agg(F.max_by(F.struct("value", "ttl"), "pos").alias("w"))
+    made = last.select("key", F.col("w.value").alias("value"), (F.lit(as_of_ms) + F.col("w.ttl") * unit_ms).cast("long").alias("expire_at_ms"))
+    return strings.join(made.select("key"), "key", "left_anti").select("key", "value", "expire_at_ms").unionByName(made)
+
+
+def get_expiring(strings: DataFrame, req: DataFrame, as_of_ms: int) -> DataFrame:
+    """req with the value and the expiry from then on: req has (key, option, n), option EX, PX (n from now), EXAT, PXAT (n as it
+    is), PERSIST or null (unchanged). A missing or expired key has neither."""
+    held = strings.where(F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") >= as_of_ms)).select("key", "value", F.col("expire_at_ms").alias("was"), F.lit(True).alias("there"))
+    option, n = F.upper("option"), F.col("n")
+    at = (
+        F.when(option == "EX", F.lit(as_of_ms) + n * 1000).when(option == "PX", F.lit(as_of_ms) + n).when(option == "EXAT", n * 1000).when(option == "PXAT", n)
+        .when(option == "PERSIST", F.lit(None).cast("long")).otherwise(F.col("was"))
+    )
+    return req.join(held, "key", "left").select(*req.columns, "value", F.when(F.col("there"), at).cast("long").alias("expire_at_ms"))
+
+
 def set_nx(strings: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of new that are written: those whose key is free."""
     return new.join(strings.select("key"), "key", "left_anti")
@@ -47,7 +69,7 @@ def mset(strings: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def mset_nx(strings: DataFrame, new: DataFrame) -> DataFrame:
-    """All of new, or nothing where any of its keys exists. new: txn, key, value; each txn is one call."""
+    """All of new, or nothing where any of its keys exists. new: txn, key, value; each txn is one call, calls don't share keys."""
     taken = new.join(strings.select("key"), "key", "left_semi").select("txn").distinct()
     return new.join(taken, "txn", "left_anti")
 
@@ -68,20 +90,20 @@ def strlen(strings: DataFrame, req: DataFrame) -> DataFrame:
 
 
 def get_range(strings: DataFrame, start, end) -> DataFrame:
-    """key, part: bytes of an inclusive range, null where it leaves the value."""
+    """key, part: bytes of an inclusive range, null where it leaves the value. A part that cuts a character holds just its bytes."""
     first, n = strict_range(start, end, F.octet_length("value"))
-    return strings.select("key", F.expr("cast(value as binary)").alias("b"), first.cast("int").alias("first"), n.cast("int").alias("n")).select("key", F.when(F.col("first").isNotNull(), F.decode(F.substring("b", F.col("first") + 1, F.col("n")), "UTF-8")).alias("part"))
+    return strings.select("key", F.expr("cast(value as binary)").alias("b"), first.cast("int").alias("first"), n.cast("int").alias("n")).select("key", F.when(F.col("first").isNotNull(), F.substring("b", F.col("first") + 1, F.col("n")).cast("string")).alias("part"))
 
 
 def set_range(strings: DataFrame, offset: int, text: str) -> DataFrame:
-    """key, value overwritten from a byte on, the gap filled with zero bytes."""
+    """key, value overwritten from a byte on, the gap filled with zero bytes. Characters that are cut leave their other bytes."""
     old = F.col("value").cast("binary")
     n = F.octet_length("value")
     head = F.substring(old, F.lit(1), F.lit(offset))
     gap = F.repeat(F.lit("\0"), F.greatest(F.lit(offset) - n, F.lit(0))).cast("binary")
     put = F.lit(text).cast("binary")
     tail = F.substring(old, F.lit(offset) + F.octet_length(put) + 1, n)
-    return strings.select("key", F.decode(F.concat(head, gap, put, tail), "UTF-8").alias("value"))
+    return strings.select("key", F.concat(head, gap, put, tail).cast("string").alias("value"))
 
 
 def append(log: DataFrame) -> DataFrame:

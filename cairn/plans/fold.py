@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.numbers import strict_int
+
 RESETS = ("del", "getdel")
 FLUSHES = ("flushdb", "flushall")
 STRINGS = ("set", "setnx", "getset", "incr", "decr", "incrby", "decrby")
@@ -51,7 +53,9 @@ def effective(log: DataFrame) -> DataFrame:
     log = covered(log)
     flushed = log.where(F.col("cmd").isin(*FLUSHES)).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("flushed"))  # one row
     rows = log.where(~F.col("cmd").isin(*FLUSHES)).join(F.broadcast(flushed), F.col("seq") > F.col("flushed")).drop("flushed")
-    resets = rows.where(F.col("cmd").isin(*RESETS) | ((F.col("cmd") == "set") & (F.size("args") == 1))).groupBy("key").agg(F.max("seq").alias("reset"))
+    # a delete may name further keys among its arguments
+    named = F.when(F.col("cmd") == "del", F.concat(F.array("key"), F.coalesce("args", F.array().cast("array<string>")))).otherwise(F.array("key"))
+    resets = rows.where(F.col("cmd").isin(*RESETS) | ((F.col("cmd") == "set") & (F.size("args") == 1))).select("seq", F.explode(named).alias("key")).groupBy("key").agg(F.max("seq").alias("reset"))
     kept = rows.join(resets, "key", "left").where(F.col("reset").isNull() | (F.col("seq") > F.col("reset")) | ((F.col("seq") == F.col("reset")) & (F.col("cmd") == "set")))
     return kept.drop("reset").where(~F.col("cmd").isin(*RESETS))
 
@@ -67,7 +71,9 @@ def strings(log: DataFrame) -> DataFrame:
     base = F.max(F.when(F.col("w"), F.col("seq"))).over(Window.partitionBy("key"))
     rows = rows.withColumn("base", base)
     out = rows.groupBy("key").agg(F.max(F.when(F.col("seq") == F.col("base"), F.col("args")[0])).alias("text"), F.try_sum(F.when(F.col("base").isNull() | (F.col("seq") > F.col("base")), F.col("d"))).alias("added"))
-    plain = out.select("key", F.when(F.col("added").isNull(), F.col("text")).otherwise(F.try_add(F.coalesce(F.col("text").try_cast("long"), F.lit(0)), F.col("added")).cast("string")).alias("value"))
+    # a step on a text that is no integer, or beyond 64 bits, is an error and changes nothing
+    counted = F.try_add(F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(strict_int(F.col("text"))), F.col("added"))
+    plain = out.select("key", F.coalesce(counted.cast("string"), "text").alias("value"))
     return plain.unionByName(_replayed(edited).where("pos < 0").select("key", F.col("val").alias("value")))
 
 
@@ -87,7 +93,8 @@ def hashes(log: DataFrame) -> DataFrame:
     total = F.try_sum(F.when((F.col("cmd") == "hincrby") & (F.col("base").isNull() | (at > F.col("base"))), F.col("val").try_cast("long")))
     out = rows.groupBy("key", "field").agg(F.max(F.when(at == F.col("base"), F.col("val"))).alias("b"), first.alias("f"), total.alias("t"))
     text = F.coalesce("b", "f")
-    return out.select("key", "field", F.when(F.col("t").isNull(), text).otherwise((F.coalesce(text.try_cast("long"), F.lit(0)) + F.col("t")).cast("string")).alias("val"))
+    counted = F.try_add(F.when(text.isNull(), F.lit(0).cast("long")).otherwise(strict_int(text)), F.col("t"))
+    return out.select("key", "field", F.coalesce(counted.cast("string"), text).alias("val"))
 
 
 def sets(log: DataFrame) -> DataFrame:

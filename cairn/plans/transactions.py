@@ -51,15 +51,33 @@ def atomic(commands: DataFrame, failed: Column) -> DataFrame:
     return commands.join(bad, "txn", "left_anti")
 
 
-def without_conflicts(transactions: DataFrame, watches: DataFrame, versions: DataFrame) -> DataFrame:
-    """Transactions (txn, ...) whose watched keys (txn, key, version) still have the version that was seen (0: no such key)."""
-    now = watches.join(versions.select("key", F.col("version").alias("now")), "key", "left")
-    return transactions.join(now.where(F.coalesce("now", F.lit(0)) != F.col("version")).select("txn").distinct(), "txn", "left_anti")
-
-
-def versions_at(commands: DataFrame) -> DataFrame:
-    """commands with the version of their key before each."""
-    return commands.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1)
+def without_conflicts(transactions: DataFrame, watches: DataFrame, commands: DataFrame) -> DataFrame:
+    """Transactions (txn, ...) whose watched keys (txn, key, seen_at, run_at) have the same version when they run as when they were
+    seen, by a log of commands (key, seq)."""
+    asks = watches.select("txn", "key", F.explode(F.array("seen_at", "run_at")).alias("at"))
+    seen = versions_at(commands, asks.select("key", "at").distinct())
+    now = watches.join(seen.withColumnsRenamed({"at": "seen_at", "version": "version"}), ["key", "seen_at"]).join(seen.withColumnsRenamed({"at": "run_at", "version": "now"}), ["key", "run_at"])
+    return transactions.join(now.where(F.col("now") != F.col("version")).select("txn").distinct(), "txn", "left_anti")
+
+
+#: Commands are counted in spans of so many sequence numbers before they are ordered.
+SPAN = 4096
+
+
+def versions_at(commands: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (key, at, ...) with version: the commands on the key before `at`. Whole spans of sequence numbers are counted within
+    tasks and summed a row a span; only within a span are commands ordered, so a key with most of the log is spread over spans."""
+    span = lambda c: F.floor(F.col(c) / SPAN).cast("long")
+    per = commands.groupBy("key", span("seq").alias("span")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = asks.select("key", span("at").alias("span")).distinct().withColumn("n", F.lit(0).cast("long"))
+    spans = per.unionByName(wanted).groupBy("key", "span").agg(F.sum("n").alias("n"))
+    before = spans.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("span")) - F.col("n")).select("key", "span", "before")
+    places = asks.select("key", "at").distinct().select("key", F.col("at").alias("seq"), F.lit(0).cast("long").alias("one"))
+    both = commands.select("key", "seq", F.lit(1).cast("long").alias("one")).unionByName(places).withColumn("span", span("seq"))
+    order = Window.partitionBy("key", "span").orderBy("seq", "one").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = both.withColumn("within", F.sum("one").over(order)).where("one = 0").select("key", F.col("seq").alias("at"), "span", "within")
+    found = within.join(before, ["key", "span"]).select("key", "at", (F.col("before") + F.col("within")).alias("version"))
+    return asks.join(found, ["key", "at"])
 
 
 def slow_log(executions: DataFrame, at_least: float, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ A log has an order, and frames can't be found from the middle of a file, so a fi
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -40,6 +41,10 @@ def encode_reply(value) -> bytes:
     return b"*%d\r\n" % len(value) + b"".join(map(encode_reply, value))
 
 
+class Torn(ValueError):
+    """A value that the end of the file cuts off."""
+
+
 def decode(file) -> Iterator:
     """Values of a stream of frames; a line that starts with no mark is a command of words with blanks between."""
     while (value := _next(file)) is not _END:
@@ -54,12 +59,12 @@ def _next(file):
     if not line:
         return _END
     if not line.endswith(b"\n"):
-        raise ValueError("a frame ends within its first line")
+        raise Torn("a frame ends within its first line")
     mark, rest = line[:1], line[1:].rstrip(b"\r\n")
     if mark == b"*":
         out = [_next(file) for _ in range(int(rest))] if int(rest) >= 0 else None
         if out and any(x is _END for x in out):
-            raise ValueError("an array ends early")
+            raise Torn("an array ends early")
         return out
     if mark == b"$":
         n = int(rest)
@@ -67,7 +72,7 @@ def _next(file):
             return None
         body = file.read(n + 2)
         if len(body) != n + 2 or body[-2:] != b"\r\n":
-            raise ValueError("a bulk string ends early")
+            raise Torn("a bulk string ends early")
         return body[:-2]
     if mark == b":":
         return int(rest)
@@ -78,6 +83,14 @@ def _next(file):
     return line.split()
 
 
+def whole(values: Iterator) -> Iterator:
+    """values up to one that is cut off: a writer that was stopped leaves such a last command, which never took effect."""
+    try:
+        yield from values
+    except Torn:
+        return
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
@@ -108,7 +121,7 @@ class LogReader(DataSourceReader):
         store, _ = _open(self.path)
         rows, db = [], 0
         with store.open_input_stream(partition.name, buffer_size=BUFFER) as file:
-            for nth, words in enumerate(decode(pa.PythonFile(file, "r") if not hasattr(file, "readline") else file)):
+            for nth, words in enumerate(whole(decode(io.BufferedReader(file, BUFFER)))):
                 if not words:
                     continue
                 name = words[0].decode().lower()
@@ -188,6 +201,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("cairn_log").load(path)
 
 
+def in_order(log: DataFrame) -> DataFrame:
+    """seq, cmd, key, args of a read log: files in the order of their parts' numbers, commands as they stand in them."""
+    part = F.coalesce(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return log.select((part * (1 << 40) + F.col("nth")).alias("seq"), "cmd", "key", "args")
+
+
 def write_log(commands: DataFrame, path: str) -> None:
     """commands: db, cmd, key, args, written in the order of their partitions."""
     commands.sparkSession.dataSource.register(CommandLog)

@@ -22,25 +22,37 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 class Counters(StatefulProcessor):
-    """One counter a key from rows (key, seq, delta, expire_at_ms). A row that sets an expiry arms a timer; when it fires, the
-    counter is gone and the next row starts from 0. Emits key, seq, value after each batch, value null on expiry."""
+    """One counter a key from rows (key, seq, delta, expire_at_ms). The expiry of the row with the largest seq that sets one holds:
+    it takes the place of an earlier one, whose timer is deleted. When the timer fires, the counter is gone and the next row starts
+    from 0. Emits key, seq, value after each batch, value null on expiry."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("counter", StructType().add("seq", LongType()).add("value", LongType()))
+        self.state = handle.getValueState("counter", StructType().add("seq", LongType()).add("value", LongType()).add("expire_at_ms", LongType()).add("set_by", LongType()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, value = self.state.get() if self.state.exists() else (-1, 0)
+        seq, value, armed, set_by = self.state.get() if self.state.exists() else (-1, 0, None, -1)
+        expiry = armed
         for pdf in rows:
             value += int(pdf.delta.sum())
             seq = max(seq, int(pdf.seq.max()))
-            for at in pdf.expire_at_ms.dropna():
-                self.handle.registerTimer(int(at))
-        self.state.update((seq, value))
+            setting = pdf[pdf.expire_at_ms.notna()]
+            if len(setting) and int(setting.seq.max()) > set_by:
+                last = setting.loc[setting.seq.idxmax()]
+                expiry, set_by = int(last.expire_at_ms), int(last.seq)
+        if expiry != armed:
+            if armed is not None:
+                self.handle.deleteTimer(armed)
+            self.handle.registerTimer(expiry)
+        self.state.update((seq, value, expiry, set_by))
         yield pd.DataFrame({"key": [key[0]], "seq": [seq], "value": [value]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq = self.state.get()[0] if self.state.exists() else -1
+        if not self.state.exists():
+            return
+        seq, _, expiry, _ = self.state.get()
+        if expiry is None or expiry > expiredTimerInfo.getExpiryTimeInMs():  # a later expiry holds
+            return
         self.state.clear()
         yield pd.DataFrame({"key": [key[0]], "seq": [seq], "value": pd.array([None], dtype="Int64")})
 

@@ -2,7 +2,9 @@
 
 import pytest
 
-from cairn.plans import fold
+from cairn.operators import strings
+from cairn.plans import fold, transactions
+from cairn.sources import wire
 
 
 def logged(spark, commands):
@@ -48,3 +50,39 @@ def test_a_command_that_no_fold_reads_raises(spark, command):
     for f in (fold.sets, fold.strings, fold.zsets, fold.effective):
         with pytest.raises(Exception, match="no fold for the command " + command[0]):
             f(log).collect()
+
+
+def test_errors_keep_values_and_deletes_name_several_keys(spark):
+    most = str(2**63 - 1)
+    log = logged(spark, [
+        ("set", "t", "abc"), ("incr", "t"), ("set", "m", most), ("incr", "m"), ("set", "n", "5"), ("incrby", "n", "x"), ("incr", "n"),
+        ("hset", "h", "f", "abc", "g", most, "i", "4"), ("hincrby", "h", "f", "1"), ("hincrby", "h", "g", "1"), ("hincrby", "h", "i", "3"),
+        ("set", "a", "1"), ("set", "b", "2"), ("set", "c", "3"), ("del", "a", "b"), ("set", "b", "4"),
+    ])
+    kept = fold.effective(log)
+    assert {r.key: r.value for r in fold.strings(kept).collect()} == {"t": "abc", "m": most, "n": "6", "c": "3", "b": "4"}
+    assert {r.field: r["val"] for r in fold.hashes(kept).collect()} == {"f": "abc", "g": most, "i": "7"}
+
+
+def test_log_files_with_databases_and_a_torn_end(spark, tmp_path):
+    frames = [[b"select", b"3"], [b"set", b"k", b"v"], [b"select", b"0"], [b"del", b"a", b"b"]]
+    data = b"".join(map(wire.encode_command, frames))
+    (tmp_path / "part-000000.aof").write_bytes(data)
+    (tmp_path / "part-000001.aof").write_bytes(wire.encode_command([b"set", b"x", b"y"]) + data[:-9])
+    rows = [(r.db, r.cmd, r.key, list(r.args)) for r in wire.read_log(spark, f"file://{tmp_path}").orderBy("file", "nth").collect()]
+    assert rows == [(3, "set", "k", ["v"]), (0, "del", "a", ["b"]), (0, "set", "x", ["y"]), (3, "set", "k", ["v"])]
+
+
+def test_versions_of_a_key_with_most_of_the_log(spark, monkeypatch):
+    monkeypatch.setattr(transactions, "SPAN", 8)
+    commands = [(i, "hot" if i % 10 else "cold") for i in range(100)]
+    asks = [(k, at) for k in ("hot", "cold", "none") for at in (0, 1, 7, 8, 50, 99, 250)]
+    found = transactions.versions_at(spark.createDataFrame(commands, "seq long, key string"), spark.createDataFrame(asks, "key string, at long"))
+    assert {(r.key, r["at"]): r.version for r in found.collect()} == {(k, at): sum(x == k and i < at for i, x in commands) for k, at in asks}
+
+
+def test_ranges_that_cut_a_character(spark):
+    rows = spark.createDataFrame([("k", "h\u00e9llo")], "key string, value string")
+    part = lambda *r: bytes(strings.get_range(rows, *r).selectExpr("cast(part as binary) b").first().b)
+    assert (part(0, 1), part(1, 2), part(2, -1)) == (b"h\xc3", b"\xc3\xa9", b"\xa9llo")
+    assert bytes(strings.set_range(rows, 2, "x").selectExpr("cast(value as binary) b").first().b) == b"h\xc3xllo"
