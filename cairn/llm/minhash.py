@@ -7,14 +7,16 @@ with probability (1 - 0.85^8)^50 = 1.3e-7, while pairs below 0.3 meet in a band
 
 Links. Texts with equal shingle sets are one node. Round one pairs each node of a bucket with PIVOTS of the bucket, the node that
 keeps most company over all its buckets (the middle of a group of copies, if there is one) and some chosen by hash, verifies those
-pairs on the full sets and joins nodes into components. Round two pairs, within each bucket that still spans several
-components, nodes of different components: sizes, one bit of each coordinate (carried as 7 longs) and the sets' prefixes rule out most of
-them inside the join, the rest are verified. A prefix is the rarest 15 percent of a set, and one: in an order that is the same
-for all, two sets of similarity 0.85 or more share a shingle of their prefixes. Counts in a table of COUNTS places, made over all
-sets that are compared, tell rare from frequent; collisions there cost time, not links. A parity sketch holds, for each of 1024 classes
-of shingles, whether a set has an odd number of them: two sets differ by at least as many shingles as their sketches by bits, which
-rules out pairs just below the threshold. After it every pair that shares a bucket is linked, refuted, or inside one component, so
-components are those of all such pairs, and a group of m copies costs about m pairs and not their square. No bucket is capped.
+pairs on the full sets and joins nodes into components. Round two takes the nodes of buckets that still span several components and
+joins them on the shingles of their prefixes. A prefix is the rarest 15 percent of a set, and one: in an order that is the same for
+all, two sets of similarity 0.85 or more share a shingle of their prefixes. Counts in a table of COUNTS places, made over all sets
+that are compared, tell rare from frequent; collisions there cost time, not links. Of the nodes that share such a shingle, those of
+the component that has most of them there are paired with the others only, not with each other, so a group of m copies in one
+component costs m pairs and not their square; Spark may split the join of a shingle that many share.
+
+Two tests, both exact, rule out pairs before their sets are compared: sizes, and a parity sketch that holds, for each of 1024 classes
+of shingles, whether a set has an odd number of them (two sets differ by at least as many shingles as their sketches by bits). After
+round two every pair that shares a bucket is linked, refuted, or inside one component. No bucket is capped.
 
 Components are found by label propagation with pointer jumping: joins and minima, staged after each round.
 
@@ -45,9 +47,6 @@ ROWS = 8
 BANDS = 50
 #: Documents are linked where 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Of 400 bits, pairs of similarity 0.85 differ in 30 on average, with a deviation of 5.3: 60 is 5.7 deviations away.
-MOST_BITS = 60
-_BITS = [f"b{k}" for k in range(7)]
 #: Round one only saves work for round two, which settles every pair that is left: a few pivots are enough.
 PIVOTS = 3
 UNIVERSE = 1 << 20
@@ -56,8 +55,9 @@ COUNTS = 1 << 18
 _PARITY = [f"p{k}" for k in range(16)]
 #: Shingles are permuted in blocks of so many.
 BLOCK = 512
-#: Up to so many row numbers, those of the texts to verify are broadcast (16 MB); beyond, the texts are shuffled to them.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many row keys, those of the texts to verify are broadcast (about 100 bytes each, 50 MB); beyond, the texts are shuffled to
+#: them, with the same rows.
+BROADCAST_ROWS = 500_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -112,36 +112,27 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-def bits_of(sig: np.ndarray) -> np.ndarray:
-    """One mixed bit of each coordinate, in 7 longs."""
-    bits = np.zeros(448, np.uint8)
-    bits[: len(sig)] = (sig * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(bits).view(np.int64)
-
-
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, node (digest of the set; null: empty), bands, b0..b6 of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))] + [(b, pa.int64()) for b in _BITS])
+    """doc_id, key, n, node (digest of the set; null: empty), bands, p0..p15 (the parity sketch) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))] + [(p, pa.int64()) for p in _PARITY])
 
     def run(batches):
         for batch in batches:
-            ns, nodes, bands, bits = [], [], [], []
+            ns, nodes, bands, odd = [], [], [], []
             for text in batch.column(2):
                 s = shingle_hashes(text.as_py())
                 ns.append(len(s))
+                odd.append(parity_of(s))
                 if len(s):
-                    sig = signature(s)
                     nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bands.append(bands_of(sig))
-                    bits.append(bits_of(sig))
+                    bands.append(bands_of(signature(s)))
                 else:
                     nodes.append(None)
                     bands.append(None)
-                    bits.append(np.zeros(7, np.int64))
-            words = np.array(bits, np.int64).reshape(len(ns), 7)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(7)]], schema=schema)
+            words = np.array(odd, np.int64).reshape(len(ns), len(_PARITY))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(len(_PARITY))]], schema=schema)
 
-    spark_schema = "doc_id bigint, key binary, n bigint, node binary, bands array<bigint>, " + ", ".join(f"{b} bigint" for b in _BITS)
+    spark_schema = "doc_id bigint, key binary, n bigint, node binary, bands array<bigint>, " + ", ".join(f"{p} bigint" for p in _PARITY)
     return keyed(docs).mapInArrow(run, spark_schema)
 
 
@@ -210,37 +201,45 @@ def parity_of(s: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """node, prefix, p0..p15 of sets (node, s): the rarest shingles, of which similar sets share one, and the parity sketch."""
+    """node, token of sets (node, s): the rarest shingles, of which similar sets share one."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
-            out, odd = [], []
-            for s in batch.column(1):
+            nodes, tokens = [], []
+            for node, s in zip(batch.column(0), batch.column(1)):
                 s = _longs(s)
                 least = -(-PERCENT * len(s) // 100)
-                out.append(s[np.lexsort((s, shared.value[s & (COUNTS - 1)]))[: len(s) - least + 1]])
-                odd.append(parity_of(s))
-            bits = np.array(odd, np.int64).reshape(len(out), len(_PARITY))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), *[pa.array(bits[:, k]) for k in range(len(_PARITY))]], names=["node", "prefix", *_PARITY])
+                tokens.append(s[np.lexsort((s, shared.value[s & (COUNTS - 1)]))[: len(s) - least + 1]])
+                nodes += [node.as_py()] * len(tokens[-1])
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(tokens))], names=["node", "token"])
 
-    return sets.select("node", "s").mapInArrow(run, "node binary, prefix array<bigint>, " + ", ".join(f"{p} bigint" for p in _PARITY))
-
-
-def _differ(x: str, y: str, longs: list[str]):
-    """Bits that differ."""
-    return functools.reduce(operator.add, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in longs])
+    return sets.select("node", "s").mapInArrow(run, "node binary, token bigint")
 
 
 def _close(x: str, y: str):
-    """Sets that differ by d shingles are similar enough only if (100 + PERCENT) * d <= (100 - PERCENT) * (sum of their sizes)."""
-    return (100 + PERCENT) * _differ(x, y, _PARITY) <= (100 - PERCENT) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
-
-
-def _alike(x: str, y: str):
-    """Sizes and bits leave the pair possible."""
+    """Sizes and parity leave the pair possible: sets that differ by d shingles are similar enough only if (100 + PERCENT) * d <=
+    (100 - PERCENT) * (sum of their sizes)."""
     fits = (100 * F.col(f"{x}.n") >= PERCENT * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= PERCENT * F.col(f"{x}.n"))
-    return fits & (_differ(x, y, _BITS) <= MOST_BITS)
+    differ = functools.reduce(operator.add, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _PARITY])
+    return fits & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+
+def pairs_across(tokens: DataFrame, roots: DataFrame, info: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components that share a token and may be similar enough. tokens (node, token),
+    roots (node, root), info (node, n, p0..p15)."""
+    spark = tokens.sparkSession
+    owned, owned_path = ws.stage(tokens.join(roots, "node").select("token", "node", "root"), "mh-tokens")
+    of = owned.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    shared, shared_path = ws.stage(owned.join(of.select("token", "main"), "token").join(info, "node"), "mh-shared-tokens")
+    x, y = shared.where(F.col("root") != F.col("main")).alias("x"), shared.alias("y")
+    # of two nodes outside the main component either comes first once
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & _close("x", "y"))
+    pairs, _ = ws.stage(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "mh-pairs")
+    ws.drop(spark, owned_path, shared_path)
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,7 +267,7 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows, _ = ws.stage(sketches(docs), "mh-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("f")
-    grouped = rows.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(b).alias(b) for b in _BITS])
+    grouped = rows.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in _PARITY])
     nodes, nodes_path = ws.stage(grouped, "mh-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared, shared_path = ws.stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mh-shared")
@@ -277,9 +276,9 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = (F.max(F.struct("company", "node"))["node"], *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS - 1)])
     pivots = members.join(company, "node").groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("key", F.explode("p").alias("pivot"))
     pivots, pivots_path = ws.stage(pivots, "mh-pivots")
-    info = nodes.select("node", "n", *_BITS)
+    info = nodes.select("node", "n", *_PARITY)
     star = members.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(info.alias("x"), F.col("a") == F.col("x.node")).join(info.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b")
+    star = star.join(info.alias("x"), F.col("a") == F.col("x.node")).join(info.alias("y"), F.col("b") == F.col("y.node")).where(_close("x", "y")).select("a", "b")
     star, star_path = ws.stage(star, "mh-star")
     wanted, wanted_path = ws.stage(members.select("node").distinct().join(nodes.select("node", F.col("f.key").alias("key")), "node"), "mh-wanted")
     few = wanted.count() <= BROADCAST_ROWS
@@ -289,20 +288,17 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
     labelled = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed, mixed_path = ws.stage(mixed, "mh-mixed")
-    opened, opened_path = ws.stage(labelled.join(mixed, "key"), "mh-opened")
-    heads = prefixes(sets.join(opened.select("node").distinct(), "node", "left_semi"), shingle_counts(sets))
-    open_, open_path = ws.stage(opened.join(info, "node").join(heads, "node"), "mh-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y") & _close("x", "y") & F.arrays_overlap("x.prefix", "y.prefix")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more, more_path = ws.stage(verified(pairs.join(star, ["a", "b"], "left_anti"), sets), "mh-more")
+    opened, opened_path = ws.stage(labelled.join(mixed, "key").select("node", "root").distinct(), "mh-opened")
+    within = sets.join(opened.select("node"), "node", "left_semi")
+    pairs = pairs_across(prefixes(within, shingle_counts(within)), opened, info)
+    more, more_path = ws.stage(verified(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets), "mh-more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     least = roots.join(nodes.select("node", "f"), "node").groupBy("root").agg(F.min("f").alias("f"))
     named = roots.join(least, "root").select("node", F.col("f").alias("least"))
     final = nodes.select("node", "f", "copies").join(named, "node", "left").where("copies > 1 or least is not null").withColumn("least", F.coalesce("least", "f"))
     final, _ = ws.stage(final.select("node", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("stays")), "mh-final")
-    ws.drop(spark, nodes_path, wanted_path, shared_path, pivots_path, members_path, star_path, sets_path, links_path, mixed_path, opened_path, open_path, more_path)
+    ws.drop(spark, nodes_path, wanted_path, shared_path, pivots_path, members_path, star_path, sets_path, links_path, opened_path, more_path)
     return rows.select("doc_id", "key", "n", "node"), final
 
 
