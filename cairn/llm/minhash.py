@@ -37,7 +37,7 @@ import operator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import workspace as ws
@@ -311,16 +311,15 @@ def find_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component. Rows that are equal in id and text are told apart by number only where one of them
-    stays."""
+    """docs with one row of each component. Of rows that are equal in id and text any one stays: each task sends one."""
     rows, final = resolve(docs)
     judged = rows.join(final, "node").groupBy("key").agg(F.first(F.col("key") == F.col("stays")).alias("__stays"), (F.count(F.lit(1)) > 1).alias("__several"))
     judged, _ = ws.stage(judged.withColumnRenamed("key", "__key"), "mh-judged")
     few = judged.count() <= BROADCAST_ROWS
     marked = docs.withColumn("__key", row_key()).join(F.broadcast(judged) if few else judged, "__key", "left")
     plain = marked.where(F.col("__stays").isNull() | (F.col("__stays") & ~F.col("__several")))
-    one = marked.where(F.col("__stays") & F.col("__several")).withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where(F.col("__r") == 1)
-    return plain.select(*docs.columns).unionByName(one.select(*docs.columns))
+    one = marked.where(F.col("__stays") & F.col("__several")).groupBy("__key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+    return plain.select(*docs.columns).unionByName(one.select("__row.*"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

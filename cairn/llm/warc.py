@@ -15,6 +15,7 @@ Defined cases
     null page_id    smallest of all; a record without page id, and refers_to is null where it points to one
     repeated rows   one record each; of equal largest page_ids one row is the response
     null url        a record without target URI
+    very long html  one record, written and read alone; skipped without being read in plain archives
     empty table     a manifest without files; no rows
     extra columns   not written
 """
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
@@ -43,9 +44,13 @@ MANIFEST = "_manifest.json"
 ROLL = 256 << 20
 #: Small files are read together up to so many bytes a task.
 TASK_BYTES = 64 << 20
+#: What is read at a time where payloads are skipped.
+SKIPPING = 64 << 10
 #: Payloads of at least this many bytes are deduplicated.
 LEAST_BYTES = 0
 BUFFER = 4 << 20
+#: Parts that equal rows are dealt to.
+SALTS = 64
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _DATE = "2000-01-01T00:00:00Z"
 
@@ -158,9 +163,8 @@ class WarcReader(DataSourceReader):
         store, _ = _open(self.path)
         rows, held = [], 0
         for name in partition.names:
-            with store.open_input_stream(name, compression=None, buffer_size=BUFFER) as raw:
-                source = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
-                for row in self._records(io.BufferedReader(source, BUFFER)):
+            with store.open_input_file(name) as raw:  # blocks of plain files are sought past, not read
+                for row in self._records(io.BufferedReader(gzip.GzipFile(fileobj=raw), BUFFER) if name.endswith(".gz") else io.BufferedReader(raw, SKIPPING if not self.payload else BUFFER)):
                     rows.append(row)
                     held += len(row["payload"] or b"")
                     if held > ws_batch or len(rows) >= 10_000:
@@ -174,8 +178,7 @@ class WarcReader(DataSourceReader):
             row = _row(found)
             length = row["content_length"]
             if not all(_TESTS[type(f)](f, row.get(f.attribute[0])) for f in self.filters) or not self.payload:
-                while length:  # the block is passed over: never held whole, never decoded
-                    length -= len(file.read(min(length, BUFFER))) or length
+                file.seek(length, io.SEEK_CUR)  # the block is passed over: never held whole, never decoded
                 if not self.payload and all(_TESTS[type(f)](f, row.get(f.attribute[0])) for f in self.filters):
                     yield row | {"payload": None}
                 continue
@@ -268,10 +271,16 @@ def with_roles(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     copies, _ = ws.stage(copies.select(F.col("digest").alias("of"), F.col("last.page_id").alias("to"), (F.col("last.n") > 1).alias("tied")), "warc-copies")
     joined = marked.join(copies, F.col("digest") == F.col("of"), "left")
     last = F.col("page_id").eqNullSafe(F.col("to"))
-    # rows that share the largest page_id of a payload are told apart by number; others by the id alone
-    tied = joined.where(F.col("tied") & last).withColumn("revisit", F.row_number().over(Window.partitionBy("digest").orderBy("url")) > 1)
+    # rows that share the largest page_id of a payload are equal but for their URL, so they are counted within tasks, in SALTS parts,
+    # and each part writes as many as it counted; the first of the part that comes first is the response
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")
+    groups, _ = ws.stage(joined.where(F.col("tied") & last).groupBy("digest", "page_id", "url", "to", salt).agg(F.first("html").alias("html"), F.count(F.lit(1)).cast("int").alias("n")), "warc-tied")
+    lead = groups.groupBy("digest").agg(F.min(F.struct(F.col("url").isNull().alias("none"), "url", "salt")).alias("lead"))
+    tied = groups.join(lead, "digest").withColumn("k", F.explode(F.sequence(F.lit(1), "n")))
+    tied = tied.withColumn("revisit", ~((F.col("k") == 1) & F.col("url").eqNullSafe(F.col("lead.url")) & (F.col("salt") == F.col("lead.salt"))))
     rest = joined.where(F.col("of").isNull() | ~(F.col("tied") & last)).withColumn("revisit", F.col("of").isNotNull() & ~last)
-    return rest.unionByName(tied).select("page_id", "url", "html", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("to")).alias("refers_to"))
+    columns = ["page_id", "url", "html", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("to")).alias("refers_to")]
+    return rest.select(*columns).unionByName(tied.select(*columns))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST_BYTES, compressed: bool = False) -> None:

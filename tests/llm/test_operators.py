@@ -294,6 +294,29 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_warc_ties_and_nulls(spark):
+    """Many equal rows of the largest id, with and without an id, over several partitions: one response each."""
+    rows = [(9, u, "same") for u in ("b", "a", "a", "a", None) * 8] + [(3, "z", "same")] * 3 + [(None, "n", "other")] * 7
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    warc.write_warc(pages, path := ws.new_path(spark, "w"))
+    found = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(spark, path, payload=False).collect())
+    assert found == {(9, "response", None): 1, (9, "revisit", 9): 39, (3, "revisit", 9): 3, (None, "response", None): 1, (None, "revisit", None): 6}
+
+
+def test_warc_of_pages_equals_brute_force(spark):
+    pages = ws.table(spark, SF, "pages")
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.select("page_id", "html").collect()]
+    last = {}
+    for page_id, payload in rows:
+        last[payload] = max(page_id, last.get(payload, page_id))
+    sha = lambda p: base64.b32encode(hashlib.sha1(p).digest()).decode()
+    expected = Counter((i, len(p), sha(p), "response" if last[p] == i else "revisit", None if last[p] == i else last[p]) for i, p in rows)
+    assert Counter(tuple(r) for r in warc.op1_warc(spark, SF).collect()) == expected
+    warc.write_warc(pages, path := ws.new_path(spark, "w"))
+    read = warc.read_warc(spark, path).where("record_type = 'response'").collect()
+    assert all(sha(bytes(r.payload)) == r.payload_digest and len(r.payload) == r.payload_bytes for r in read) and len(read) == len(last)
+
+
 def test_language(docs, odd, empty):
     model = langid.fit(langid.training_rows(docs))
     found = {r.doc_id: r for r in langid.identify(docs, model).collect()}
