@@ -5,7 +5,8 @@ The others are dealt by hash into shards of about SHARD_ITEMS pieces, so no task
 several islands. An individual is a grouping of the shard's pieces into bins. Crossover takes the fullest bins of one parent
 whole, keeps the bins of the other that share no piece with them, and best-fits the pieces of the rest in descending length;
 mutation empties a few of the worst bins in the same way. Between epochs each island sends its best individuals to the next one
-through a Spark join. Islands that have reached the bound ceil(tokens / length) stop. The few bins of each shard that stay
+through a Spark join. Islands that have reached the bound ceil(tokens / length) stop, and where a shard's first island does so at
+once, its others don't start. The few bins of each shard that stay
 loosely filled are pooled and evolved once more, so shards cost no sequence each.
 
 Defined cases
@@ -196,13 +197,17 @@ def _grouped(items: DataFrame, length: int, seed: int, items_per_shard: int) ->
     held = F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("l"), "pid")))
     start, start_path = ws.stage(dealt.groupBy("shard").agg(held.alias("held")).select("shard", F.expr("transform(held, x -> cast(-x.l as int))").alias("lens"), F.expr("transform(held, x -> x.pid)").alias("pids")), "pack-shards")
     schema = "shard int, island int, lens array<int>, population array<binary>, n_bins int, slack double"
-    state = start.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "lens", F.lit(None).cast("array<binary>").alias("population"))
-    state = state.repartition(max(1, min(shards * ISLANDS, 2000)), "shard", "island")
-    paths = [start_path]
-    for epoch in range(EPOCHS):
-        if epoch:
-            state = migrated(state)
-        state, path = ws.stage(state.mapInPandas(_island_step(length, epoch, seed), schema), "pack-islands")
+    step = lambda state, epoch: state.select("shard", "island", "lens", "population").mapInPandas(_island_step(length, epoch, seed), schema)
+    new = F.lit(None).cast("array<binary>").alias("population")
+    # the first island of each shard goes ahead: where it reaches the bound, nothing is left to search for
+    ahead, ahead_path = ws.stage(step(start.select("shard", F.lit(0).alias("island"), "lens", new).repartition(max(1, min(shards, 2000)), "shard"), 0), "pack-islands")
+    bound = F.ceil(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(length))
+    done, open_ = ahead.where(F.col("n_bins") <= bound), ahead.where(F.col("n_bins") > bound)
+    others = open_.select("shard", F.explode(F.array(*[F.lit(i) for i in range(1, ISLANDS)])).alias("island"), "lens", new).repartition(max(1, min(shards, 2000)), "shard", "island")
+    state, path = ws.stage(open_.unionByName(step(others, 0)), "pack-islands")
+    paths = [start_path, ahead_path, path]
+    for epoch in range(1, EPOCHS):
+        state, path = ws.stage(step(migrated(state), epoch), "pack-islands")
         paths.append(path)
 
     def lay(frames):
@@ -217,7 +222,7 @@ def _grouped(items: DataFrame, length: int, seed: int, items_per_shard: int) ->
                 first = np.concatenate(([True], b[1:] != b[:-1]))
                 yield pd.DataFrame({"shard": np.int32(shard), "pid": np.asarray(pids, np.int64)[order], "length": l, "bin": b.astype(np.int32), "offset": before - before[first][np.cumsum(first) - 1], "fill": fills(lens, best)[b]})
 
-    best = state.groupBy("shard").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "slack", "island")).alias("best"))
+    best = done.unionByName(state).groupBy("shard").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "slack", "island")).alias("best"))
     return best.join(start, "shard").mapInPandas(lay, "shard int, pid bigint, length bigint, bin int, offset bigint, fill bigint"), paths
 
 
