@@ -716,7 +716,7 @@ def _(ks):
 
 @query("z_rank_wide", "SELECT key, member, score, r AS rank FROM ZR")
 def _(ks):
-    return zsets.ranked_wide(ks.zsets())
+    return zsets.ranked(ks.zsets())
 
 
 @query("z_zscore", f"SELECT q.key, q.member, z.score FROM {_SOME} q LEFT JOIN (SELECT * FROM Z) z ON q.key = z.key AND q.member = z.member")

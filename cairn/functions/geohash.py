@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -75,14 +77,14 @@ def text_of(score: pd.Series) -> pd.Series:
 
 
 def precision_for(radius: float, latitude: float) -> int:
-    """Bits of cells that are about as wide as the radius; fewer near the poles, where cells are narrow."""
+    """Bits of cells about as wide as the radius. Halving MERCATOR_MAX k times gives a width of MERCATOR_MAX / 2**k, so k is the binary
+    logarithm of their quotient, rounded up; cells of one halving less contain the circle. Near the poles, where cells narrow, one
+    halving less is taken from a latitude of 66 degrees and another from 80."""
     if radius == 0:
         return 63
-    steps = 1
-    while radius < MERCATOR_MAX:
-        radius, steps = radius * 2, steps + 1
-    steps -= 2 + (abs(latitude) > 66) + (abs(latitude) > 80)
-    return 2 * min(max(steps, 1), 32) - 1
+    narrow = int(np.searchsorted([66, 80], abs(latitude)))
+    halvings = math.ceil(math.log2(MERCATOR_MAX / radius)) - 1 - narrow
+    return 2 * int(np.clip(halvings, 1, 32)) - 1
 
 
 def cells_around(lng: float, lat: float, radius: float) -> list[tuple[float, float]]:

@@ -3,9 +3,10 @@ set bit."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions import numbering
 from cairn.functions.ranges import strict_range
 
 
@@ -51,7 +52,6 @@ def position(bits: DataFrame, bit: int, start: int = 0, end: int = -1, unit: str
     inside = bits.join(r, "key").withColumn("in", F.coalesce((F.col("off") >= F.col("a")) & (F.col("off") < F.col("b")), F.lit(False)))
     if bit:
         return inside.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("in"), F.col("off"))), F.lit(-1)).cast("long").alias("pos"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("off")) - 1
-    held = inside.where("in").withColumn("nth", nth).groupBy("key").agg(F.min(F.when(F.col("off") > F.col("nth") + F.col("a"), F.col("nth") + F.col("a"))).alias("gap"), F.count(F.lit(1)).alias("n"))
+    held = numbering.numbered(inside.where("in"), ["off"], "nth").groupBy("key").agg(F.min(F.when(F.col("off") > F.col("nth") + F.col("a"), F.col("nth") + F.col("a"))).alias("gap"), F.count(F.lit(1)).alias("n"))
     out = r.join(held, "key", "left").withColumn("z", F.coalesce("gap", F.col("a") + F.coalesce("n", F.lit(0))))
     return out.select("key", F.when(F.col("a").isNotNull() & (F.col("z") < F.col("b")), F.col("z")).otherwise(F.lit(-1)).cast("long").alias("pos"))

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import numbering
 from cairn.functions.ranges import clamped_range
 
-def _of_key():
-    return Window.partitionBy("key")
-
 
 def sized(lists: DataFrame) -> DataFrame:
     """lists with the length of each: counted within tasks first and joined, so a long list is not gathered in one task."""
     return lists.join(lists.groupBy("key").agg(F.count(F.lit(1)).alias("len")), "key")
 
 
-def renumbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """key, pos, val in a new order."""
-    return rows.select("key", (F.row_number().over(_of_key().orderBy(*(order or (F.col("pos"),)))) - 1).cast("long").alias("pos"), "val")
+def renumbered(rows: DataFrame) -> DataFrame:
+    """key, pos, val with the gaps between positions closed."""
+    return numbering.numbered(rows, ["pos"], "to").select("key", F.col("to").alias("pos"), "val")
+
+
+def _shifted(lists: DataFrame, few: DataFrame, pos: Column) -> DataFrame:
+    """lists with new positions, from columns of few (one row a key, not of every key)."""
+    return lists.join(few, "key", "left").select("key", pos.cast("long").alias("pos"), "val")
 
 
 def length(lists: DataFrame, req: DataFrame) -> DataFrame:
@@ -43,7 +46,10 @@ def between(lists: DataFrame, start: int, stop: int) -> DataFrame:
 
 def trim(lists: DataFrame, start: int, stop: int) -> DataFrame:
     """The lists cut to a range; what is left empty is gone."""
-    return renumbered(between(lists, start, stop))
+    if start >= 0:
+        return between(lists, start, stop).select("key", (F.col("pos") - start).alias("pos"), "val")
+    a, b = clamped_range(start, stop, F.col("len"))
+    return sized(lists).where((F.col("pos") >= a) & (F.col("pos") < b)).select("key", (F.col("pos") - a).alias("pos"), "val")
 
 
 def pop_left(lists: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -61,20 +67,24 @@ def pop_right(lists: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("pos") >= F.col("len") - n).withColumn("nth", F.col("len") - 1 - F.col("pos")).drop("len"), rows.where(F.col("pos") < F.col("len") - n).drop("len")
 
 
-def push_right(lists: DataFrame, new: DataFrame, only_existing: bool = False) -> DataFrame:
-    """new (key, nth, val) behind each list, in order of nth."""
+def _pushed(lists: DataFrame, new: DataFrame, only_existing: bool) -> DataFrame:
+    """key, nth, val of new, nth from 0 without gaps."""
     if only_existing:
         new = new.join(lists.select("key").distinct(), "key", "left_semi")
-    both = lists.select("key", F.lit(0).alias("z"), "pos", "val").unionByName(new.select("key", F.lit(1).alias("z"), F.col("nth").cast("long").alias("pos"), "val"))
-    return renumbered(both, F.col("z"), F.col("pos"))
+    return numbering.numbered(new.select("key", "nth", "val"), ["nth"], "to").select("key", F.col("to").alias("nth"), "val")
+
+
+def push_right(lists: DataFrame, new: DataFrame, only_existing: bool = False) -> DataFrame:
+    """new (key, nth, val) behind each list, in order of nth. The elements that were there are not moved."""
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("len"))
+    return lists.select("key", "pos", "val").unionByName(_shifted(_pushed(lists, new, only_existing), sizes, F.coalesce("len", F.lit(0)) + F.col("nth")))
 
 
 def push_left(lists: DataFrame, new: DataFrame, only_existing: bool = False) -> DataFrame:
-    """new before each list: the last pushed comes first."""
-    if only_existing:
-        new = new.join(lists.select("key").distinct(), "key", "left_semi")
-    both = lists.select("key", F.lit(1).alias("z"), "pos", "val").unionByName(new.select("key", F.lit(0).alias("z"), (-F.col("nth")).cast("long").alias("pos"), "val"))
-    return renumbered(both, F.col("z"), F.col("pos"))
+    """new before each list: the last pushed comes first. The elements that were there move by the number of new ones."""
+    new = _pushed(lists, new, only_existing)
+    sizes = new.groupBy("key").agg(F.count(F.lit(1)).alias("len"))
+    return _shifted(lists, sizes, F.col("pos") + F.coalesce("len", F.lit(0))).unionByName(_shifted(new, sizes, F.col("len") - 1 - F.col("nth")))
 
 
 def move_tail_to_head(lists: DataFrame, moves: DataFrame) -> DataFrame:
@@ -87,11 +97,13 @@ def move_tail_to_head(lists: DataFrame, moves: DataFrame) -> DataFrame:
 
 def remove(lists: DataFrame, count: int, val: str) -> DataFrame:
     """Without all (0), the first n or the last -n elements equal to val."""
-    rows = lists.withColumn("same", F.col("val") == val)
+    same = lists.where(F.col("val") == val).select("key", "pos")
     if count:
         pos = F.col("pos").asc() if count > 0 else F.col("pos").desc()
-        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "same").orderBy(pos))).withColumn("same", F.col("same") & (F.col("nth") <= abs(count)))
-    return renumbered(rows.where(~F.coalesce("same", F.lit(False))))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(pos))  # each task sends a key's first n alone
+        same = same.withColumn("nth", nth).where(F.col("nth") <= abs(count)).drop("nth")
+    kept = lists.join(same, ["key", "pos"], "left_anti") if count else lists.where(~F.col("val").eqNullSafe(val))
+    return renumbered(kept)
 
 
 def replace(lists: DataFrame, i: int, val: str) -> DataFrame:
@@ -102,6 +114,6 @@ def replace(lists: DataFrame, i: int, val: str) -> DataFrame:
 
 def insert(lists: DataFrame, pivot: str, val: str, after: bool = False) -> DataFrame:
     """val next to the first pivot of each list; lists without it stay."""
-    first = lists.where(F.col("val") == pivot).groupBy("key").agg(F.min("pos").alias("pos"))
-    new = first.select("key", (F.col("pos") + (0.5 if after else -0.5)).alias("pos"), F.lit(val).alias("val"))
-    return renumbered(lists.select("key", F.col("pos").cast("double").alias("pos"), "val").unionByName(new))
+    first = lists.where(F.col("val") == pivot).groupBy("key").agg((F.min("pos") + int(after)).alias("at"))
+    moved = _shifted(lists, first, F.col("pos") + F.coalesce((F.col("pos") >= F.col("at")).cast("int"), F.lit(0)))
+    return moved.unionByName(first.select("key", F.col("at").alias("pos"), F.lit(val).alias("val")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import numbering
+
 
 def lot(seed: int, *parts: str) -> Column:
     """A text that orders rows at random: the MD5 of the seed and the row, which any engine can compute."""
@@ -16,9 +18,9 @@ def sample(rows: DataFrame, what: str, n: int, seed: int) -> DataFrame:
     if n >= 0:
         order = Window.partitionBy("key").orderBy(lot(seed, "key", what), what)  # each task sends a key's first n alone
         return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(what)))
+    numbered = numbering.ranked(rows, [F.col(what)], "i").withColumn("i", F.col("i") + 1)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    draws = sizes.select("key", "m", F.explode(F.sequence(F.lit(1), F.lit(-n))).alias("draw")).select("key", "draw", (F.pmod(F.conv(F.substring(lot(seed, "key", "draw"), 1, 13), 16, 10).cast("long"), "m") + 1).cast("int").alias("i"))
+    draws = sizes.select("key", "m", F.explode(F.sequence(F.lit(1), F.lit(-n))).alias("draw")).select("key", "draw", (F.pmod(F.conv(F.substring(lot(seed, "key", "draw"), 1, 13), 16, 10).cast("long"), "m") + 1).alias("i"))
     return draws.join(numbered, ["key", "i"]).drop("i")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions import numbering
 from cairn.functions.numbers import strict_int
 from cairn.functions.ranges import strict_range
 
@@ -76,7 +77,7 @@ def mset_nx(strings: DataFrame, new: DataFrame) -> DataFrame:
 
 def get_set(log: DataFrame) -> DataFrame:
     """The former value that each write of a log replies."""
-    return log.withColumn("former", F.lag("value").over(Window.partitionBy("key").orderBy("seq")))
+    return numbering.former(log, "seq", "value", "former")
 
 
 def get_del(strings: DataFrame, req: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,8 +115,8 @@ def append(log: DataFrame) -> DataFrame:
 
 def incr_running(log: DataFrame, delta: Column) -> DataFrame:
     """log with the counter after each step."""
-    order = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("value", F.sum(delta).over(order))
+    kept = [c for c in log.columns if c != "value"]
+    return numbering.running(log.withColumn("delta", delta), ["seq"], F.col("delta"), "after").select(*kept, F.col("after").alias("value"))
 
 
 def incr_total(log: DataFrame, delta: Column) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import numbering
 from cairn.functions.patterns import glob
 from cairn.functions.ranges import clamped_range
 
@@ -35,18 +36,7 @@ def incr(log: DataFrame) -> DataFrame:
 
 def ranked(zsets: DataFrame, reverse: bool = False) -> DataFrame:
     """zsets with rank from 0."""
-    return zsets.withColumn("rank", (F.row_number().over(_order(reverse)) - 1).cast("long"))
-
-
-def ranked_wide(zsets: DataFrame, reverse: bool = False) -> DataFrame:
-    """ranked() for keys that outgrow a task: rows are sorted by ranges over all tasks, numbered within each, and shifted by what
-    the tasks before hold of the key (one row a task and key)."""
-    order = [F.col("key"), F.desc("score") if reverse else F.asc("score"), F.desc("member") if reverse else F.asc("member")]
-    spread = zsets.repartitionByRange(*order).withColumn("task", F.spark_partition_id())
-    spread = spread.checkpoint() if zsets.sparkSession.sparkContext.getCheckpointDir() else spread.persist()
-    near = Window.partitionBy("task", "key").orderBy(*order[1:])
-    before = spread.groupBy("key", "task").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.withColumn("nth", F.row_number().over(near)).join(before.select("key", "task", "before"), ["key", "task"]).select(*zsets.columns, (F.col("before") + F.col("nth") - 1).cast("long").alias("rank"))
+    return numbering.ranked(zsets, [F.desc("score"), F.desc("member")] if reverse else [F.asc("score"), F.asc("member")], "rank")
 
 
 def rank(zsets: DataFrame, req: DataFrame, reverse: bool = False) -> DataFrame:
@@ -104,17 +94,17 @@ def lex_count(zsets: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def by_rank(zsets: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
-    """zsets with rank, of an inclusive range of ranks. Ranges from the head filter the row number itself, so each task keeps
-    only what can still win before the shuffle."""
-    order = _order(reverse)
+    """zsets with rank, of an inclusive range of ranks. Ranges that begin and end near one end filter the row number itself, so each
+    task keeps only what can still win before the shuffle; only ranges from head to tail number all."""
+    size = F.col("n")
     if start >= 0 and stop >= 0:
-        rows = zsets.withColumn("r", F.row_number().over(order)).where(F.col("r") <= stop + 1)
+        rows = zsets.withColumn("r", F.row_number().over(_order(reverse))).where(F.col("r") <= stop + 1)
         return rows.where(F.col("r") > start).select(*zsets.columns, (F.col("r") - 1).cast("long").alias("rank"))
     if start < 0 and stop < 0:  # from the tail: the head of the other direction
-        return by_rank(zsets, -stop - 1, -start - 1, not reverse).join(cardinality(zsets), "key").select(*zsets.columns, (F.col("n") - 1 - F.col("rank")).alias("rank"))
-    rows = zsets.withColumn("r", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(_of_key()))
-    a, b = clamped_range(start, stop, F.col("n"))
-    return rows.where((F.col("r") > a) & (F.col("r") <= b)).select(*zsets.columns, (F.col("r") - 1).cast("long").alias("rank"))
+        return by_rank(zsets, -stop - 1, -start - 1, not reverse).join(cardinality(zsets), "key").select(*zsets.columns, (size - 1 - F.col("rank")).alias("rank"))
+    rows = by_rank(zsets, 0, stop, reverse) if start < 0 else ranked(zsets, reverse)
+    a, b = clamped_range(start, stop, size)
+    return rows.join(cardinality(zsets), "key").where((F.col("rank") >= a) & (F.col("rank") < b)).select(*zsets.columns, "rank")
 
 
 def _limited(rows: DataFrame, order, columns: list[str], offset: int, limit: int) -> DataFrame:
@@ -140,8 +130,8 @@ def by_lex(zsets: DataFrame, low: str, high: str, offset: int = 0, limit: int =
 
 def pop_min(zsets: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
     """The n lowest of each key, and the rest."""
-    rows = zsets.withColumn("r", F.row_number().over(_order()))
-    return rows.where(F.col("r") <= n).drop("r"), rows.where(F.col("r") > n).drop("r")
+    taken = by_rank(zsets, 0, n - 1).drop("rank") if n > 0 else zsets.where(F.lit(False))
+    return taken, remove(zsets, taken)
 
 
 def remove(zsets: DataFrame, req: DataFrame) -> DataFrame:
@@ -157,9 +147,7 @@ def remove_by_lex(zsets: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def remove_by_rank(zsets: DataFrame, start: int, stop: int) -> DataFrame:
-    rows = zsets.withColumn("r", F.row_number().over(_order())).withColumn("n", F.count(F.lit(1)).over(_of_key()))
-    a, b = clamped_range(start, stop, F.col("n"))
-    return rows.where(~((F.col("r") > a) & (F.col("r") <= b))).select(*zsets.columns)
+    return remove(zsets, by_rank(zsets, start, stop))
 
 
 def scan(zsets: DataFrame, pattern: str) -> DataFrame:

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.numbers import strict_int
+from cairn.functions import numbering
+from cairn.functions.numbers import float_text, strict_int
 
 RESETS = ("del", "getdel")
 FLUSHES = ("flushdb", "flushall")
@@ -66,10 +68,9 @@ def strings(log: DataFrame) -> DataFrame:
     rows, edited = _split(covered(log).where(F.col("cmd").isin(*STRINGS, *STRINGS_ORDERED)), STRINGS_ORDERED)
     number = F.when(F.col("cmd") == "incr", 1).when(F.col("cmd") == "decr", -1).when(F.col("cmd") == "incrby", F.col("args")[0].try_cast("long")).when(F.col("cmd") == "decrby", -F.col("args")[0].try_cast("long"))
     # a setnx writes only where it opens the key's history
-    opens = F.row_number().over(Window.partitionBy("key").orderBy("seq")) == 1
-    rows = rows.withColumn("w", F.col("cmd").isin("set", "getset") | ((F.col("cmd") == "setnx") & opens)).withColumn("d", number)
-    base = F.max(F.when(F.col("w"), F.col("seq"))).over(Window.partitionBy("key"))
-    rows = rows.withColumn("base", base)
+    full = F.max(F.when(F.col("cmd").isin("set", "getset"), F.col("seq")))
+    opened = F.when(F.min_by("cmd", "seq") == "setnx", F.min("seq"))
+    rows = numbering.with_totals(rows.withColumn("d", number), ["key"], base=F.coalesce(full, opened))
     out = rows.groupBy("key").agg(F.max(F.when(F.col("seq") == F.col("base"), F.col("args")[0])).alias("text"), F.try_sum(F.when(F.col("base").isNull() | (F.col("seq") > F.col("base")), F.col("d"))).alias("added"))
     # a step on a text that is no integer, or beyond 64 bits, is an error and changes nothing
     counted = F.try_add(F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(strict_int(F.col("text"))), F.col("added"))
@@ -84,11 +85,8 @@ def hashes(log: DataFrame) -> DataFrame:
     )
     rows = covered(log).where(F.col("cmd").isin("hset", "hmset", "hsetnx", "hincrby", "hdel")).select("key", "seq", "cmd", F.posexplode(pairs).alias("nth", "p")).select("key", "seq", "cmd", "nth", F.col("p.f").alias("field"), F.col("p.v").alias("val"))
     at = F.struct("seq", "nth")
-    w = Window.partitionBy("key", "field")
-    gone = F.max(F.when(F.col("cmd") == "hdel", at)).over(w)
-    rows = rows.withColumn("gone", gone).where(F.col("gone").isNull() | (at > F.col("gone")))
-    base = F.max(F.when(F.col("cmd").isin("hset", "hmset"), at)).over(w)
-    rows = rows.withColumn("base", base)
+    rows = numbering.with_totals(rows, ["key", "field"], gone=F.max(F.when(F.col("cmd") == "hdel", at)), base=F.max(F.when(F.col("cmd").isin("hset", "hmset"), at)))
+    rows = rows.where(F.col("gone").isNull() | (at > F.col("gone"))).withColumn("base", F.when(F.col("gone").isNull() | (F.col("base") > F.col("gone")), F.col("base")))
     first = F.min_by(F.when(F.col("cmd") == "hsetnx", F.col("val")), at)
     total = F.try_sum(F.when((F.col("cmd") == "hincrby") & (F.col("base").isNull() | (at > F.col("base"))), F.col("val").try_cast("long")))
     out = rows.groupBy("key", "field").agg(F.max(F.when(at == F.col("base"), F.col("val"))).alias("b"), first.alias("f"), total.alias("t"))
@@ -111,9 +109,8 @@ def zsets(log: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("args") / 2).cast("int") - 1)), lambda i: F.struct(F.get("args", 2 * i + 1).alias("m"), F.get("args", 2 * i).alias("s")))
     )
     rows = log.where(F.col("cmd").isin("zadd", "zincrby", "zrem")).select("key", "seq", "cmd", F.posexplode(pairs).alias("nth", "p")).select("key", F.struct("seq", "nth").alias("at"), "cmd", F.col("p.m").alias("member"), F.col("p.s").try_cast("double").alias("score"))
-    w = Window.partitionBy("key", "member")
-    rows = rows.withColumn("gone", F.max(F.when(F.col("cmd") == "zrem", F.col("at"))).over(w)).where("gone is null or at > gone")
-    rows = rows.withColumn("base", F.max(F.when(F.col("cmd") == "zadd", F.col("at"))).over(w))
+    rows = numbering.with_totals(rows, ["key", "member"], gone=F.max(F.when(F.col("cmd") == "zrem", F.col("at"))), base=F.max(F.when(F.col("cmd") == "zadd", F.col("at"))))
+    rows = rows.where("gone is null or at > gone").withColumn("base", F.expr("case when gone is null or base > gone then base end"))
     plain = rows.where("base is null or at >= base").groupBy("key", "member").agg(F.sum("score").alias("score"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +131,7 @@ def expiries(log: DataFrame) -> DataFrame:
 def appended_lists(log: DataFrame) -> DataFrame:
     """key, pos, val of keys that only ever saw rpush: no replay needed."""
     rows = covered(log).where(F.col("cmd") == "rpush").select("key", "seq", F.posexplode("args").alias("nth", "val"))
-    return rows.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("seq", "nth")) - 1).cast("long").alias("pos"), "val")
+    return numbering.numbered(rows, ["seq", "nth"], "pos").select("key", "pos", "val")
 
 
 def lists(log: DataFrame) -> DataFrame:
@@ -252,20 +249,24 @@ def ordered(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.where("pos >= 0"), done.where("pos < 0").select("key", F.col("val").alias("value"))
 
 
-def compact(strings_: DataFrame, lists: DataFrame, hashes_: DataFrame, sets_: DataFrame, zsets_: DataFrame) -> DataFrame:
-    """cmd, key, args: one command a key that rebuilds it."""
-    from cairn.functions.numbers import float_text
+#: Arguments that one command of a compacted log holds, about.
+MEMBERS = 65_536
+
 
+def compact(strings_: DataFrame, lists: DataFrame, hashes_: DataFrame, sets_: DataFrame, zsets_: DataFrame) -> DataFrame:
+    """cmd, key, args: commands that rebuild each key, in order of part for lists; a key of more than MEMBERS members takes several."""
     held = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
     flat = lambda rows, a, b: F.flatten(F.transform(rows, lambda x: F.array(x[a], x[b])))
-    out = [
-        strings_.select(F.lit("set").alias("cmd"), "key", F.array("value").alias("args")),
-        lists.groupBy("key").agg(F.transform(held("pos", "val"), lambda x: x["val"]).alias("args")).select(F.lit("rpush").alias("cmd"), "key", "args"),
-        hashes_.groupBy("key").agg(flat(held("field", "val"), "field", "val").alias("args")).select(F.lit("hmset").alias("cmd"), "key", "args"),
-        sets_.groupBy("key").agg(F.sort_array(F.collect_list("member")).alias("args")).select(F.lit("sadd").alias("cmd"), "key", "args"),
-        zsets_.withColumn("s", float_text("score")).groupBy("key").agg(flat(held("score", "member", "s"), "s", "member").alias("args")).select(F.lit("zadd").alias("cmd"), "key", "args"),
+    size = F.ceil(F.count(F.lit(1)) / MEMBERS)
+
+    def dealt(rows: DataFrame, what: str):
+        return numbering.with_totals(rows, ["key"], parts=size).withColumn("part", F.pmod(F.xxhash64(what), "parts")).groupBy("key", "part")
+
+    made = [
+        strings_.select(F.lit("set").alias("cmd"), "key", F.lit(0).cast("long").alias("part"), F.array("value").alias("args")),
+        lists.withColumn("part", F.floor(F.col("pos") / MEMBERS)).groupBy("key", "part").agg(F.transform(held("pos", "val"), lambda x: x["val"]).alias("args")).select(F.lit("rpush").alias("cmd"), "key", "part", "args"),
+        dealt(hashes_, "field").agg(flat(held("field", "val"), "field", "val").alias("args")).select(F.lit("hmset").alias("cmd"), "key", "part", "args"),
+        dealt(sets_, "member").agg(F.sort_array(F.collect_list("member")).alias("args")).select(F.lit("sadd").alias("cmd"), "key", "part", "args"),
+        dealt(zsets_.withColumn("s", float_text("score")), "member").agg(flat(held("score", "member", "s"), "s", "member").alias("args")).select(F.lit("zadd").alias("cmd"), "key", "part", "args"),
     ]
-    both = out[0]
-    for more in out[1:]:
-        both = both.unionByName(more)
-    return both
+    return reduce(DataFrame.unionByName, made)

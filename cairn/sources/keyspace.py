@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions import numbering
+
 #: 2024-01-16 00:00 UTC: the instant at which expiry is judged.
 AS_OF_MS = 1_705_363_200_000
 
@@ -40,8 +42,8 @@ class KeySpace:
 
     def lists(self) -> DataFrame:
         """key, pos (from 0), val"""
-        order = Window.partitionBy("user_id").orderBy("event_id")
-        return self._t("events").select(key("user:", "user_id").alias("key"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("event_type").alias("val"))
+        rows = self._t("events").select(key("user:", "user_id").alias("key"), "event_id", F.col("event_type").alias("val"))
+        return numbering.numbered(rows, ["event_id"], "pos").select("key", "pos", "val")
 
     def hashes(self) -> DataFrame:
         """key, field, val"""
