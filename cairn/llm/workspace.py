@@ -14,9 +14,11 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the session names none (tests)."""
+    """The folder that driver and executors share; where the session names none, a local one in local mode only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
