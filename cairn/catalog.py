@@ -926,6 +926,19 @@ def _(ks):
     return fold.ordered(log)[0]
 
 
+@query(
+    "log_fold_moves",
+    "WITH s AS (SELECT user_id, event_type, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'signup')), "
+    "t AS (SELECT user_id, max(n) AS n_last FROM s GROUP BY user_id) "
+    "SELECT (CASE WHEN n = n_last THEN 'cnt:' ELSE 'old:' END) || s.user_id AS key, CAST(count(*) AS VARCHAR) AS value FROM s JOIN t ON s.user_id = t.user_id WHERE event_type = 'click' AND n >= n_last - 1 GROUP BY 1",
+)
+def _(ks):
+    """Counters of clicks, each renamed at every signup of its user."""
+    c = _events(ks, "click").select(_user("cnt:"), F.col("event_id").alias("seq"), F.lit("incr").alias("cmd"), F.array().cast("array<string>").alias("args"))
+    renames = _events(ks, "signup").select(_user("cnt:"), F.col("event_id").alias("seq"), F.lit("rename").alias("cmd"), F.array(F.concat(F.lit("old:"), F.col("user_id").cast("string"))).alias("args"))
+    return fold.strings(fold.effective(fold.settled(c.unionByName(renames))))
+
+
 @query(
     "log_fold_state",
     f"WITH k AS ({_KEYED}), d AS (SELECT 'spend' AS key, max(seq) AS reset FROM k WHERE seq % 400 = 0), f AS (SELECT k.* FROM k LEFT JOIN d ON k.key = d.key WHERE d.reset IS NULL OR k.seq > d.reset) "

@@ -5,8 +5,9 @@ hincrby, zincrby), membership (sadd, srem, hdel, zrem), and those whose order ma
 The first four are aggregates that Spark combines before it shuffles; only keys with a command of the last class are replayed,
 each by itself, in Python. A delete or flush makes everything before it void, which is one filter against the last of them.
 
-A log is (seq, cmd, key, args array<string>), seq unique. The folds read the commands of COVERED; any other one, such as those that
-read one key to write another (rename, copy, rpoplpush, msetnx, stores of set algebra) or that pick at random (spop), raises.
+A log is (seq, cmd, key, args array<string>), seq unique. The folds read the commands of COVERED; `settled` first tells commands of
+several keys (mset, msetnx, del, rename, renamenx, copy) and setex, psetex by commands of one key that the folds read. Any other one,
+such as rpoplpush and the stores of set algebra, which write what another key holds then, or spop, which picks at random, raises.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbering
 from cairn.functions.numbers import float_text, strict_int
+from cairn.streaming.live import shared_folder
 
 RESETS = ("del", "getdel")
 FLUSHES = ("flushdb", "flushall")
@@ -32,6 +34,7 @@ STRINGS_ORDERED = ("append", "setrange")
 ZSETS_ORDERED = ("zpopmin", "zremrangebyrank", "zremrangebyscore", "zremrangebylex")
 ORDERED = LISTS_ORDERED + STRINGS_ORDERED
 COVERED = (*RESETS, *FLUSHES, *STRINGS, *ORDERED, "rpush", "hset", "hmset", "hsetnx", "hincrby", "hdel", "sadd", "srem", *ZSETS, *ZSETS_ORDERED, "pexpireat", "persist")
+MOVES = ("rename", "renamenx", "copy")
 #: Parts that a key's rows are dealt to where they meet the keys to be replayed.
 PARTS = 16
 
@@ -50,6 +53,57 @@ def _split(rows: DataFrame, commands: tuple[str, ...]) -> tuple[DataFrame, DataF
     return dealt.join(keys, ["key", "part"], "left_anti").drop("part"), dealt.join(keys, ["key", "part"], "left_semi").drop("part")
 
 
+def settled(log: DataFrame) -> DataFrame:
+    """The log without commands of several keys. As in a server's log, every command in it took effect: the source of a move was
+    there, the keys of msetnx and the destination of renamenx were not.
+
+    A move starts a new stretch of its destination's history, a rename one of its source's too. What a key holds in the end is what
+    was written in its last stretch and in those that it came from, so their rows are told under that key's name. There are as many
+    joins as the longest chain of moves into one key has links; the rows themselves are joined once. Stretches are numbered in spans
+    (`numbering`), so no task holds a whole key. The time of setex and psetex is left out: the pexpireat that follows them in a log
+    says it. copy to another database raises."""
+    log = log.select("seq", "cmd", "key", "args")
+    none = F.array().cast("array<string>")
+    words = F.concat(F.array("key"), F.coalesce("args", none))
+    of = lambda *names: F.coalesce(F.col("cmd").isin(*names), F.lit(False))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 2).cast("int") - 1), lambda i: F.struct(F.get(words, 2 * i).alias("key"), F.get(words, 2 * i + 1).alias("val")))
+    many = log.where(of("mset", "msetnx") & (F.size("args") > 0)).select("seq", F.posexplode(pairs).alias("nth", "p")).groupBy("seq", F.col("p.key").alias("key")).agg(F.max_by("p.val", "nth").alias("val"))
+    told = reduce(DataFrame.unionByName, [
+        log.where(~of("mset", "msetnx", "del", "setex", "psetex", *MOVES)),
+        many.select("seq", F.lit("set").alias("cmd"), "key", F.array("val").alias("args")),
+        log.where(of("del")).select("seq", "cmd", F.explode(F.array_distinct(words)).alias("key"), none.alias("args")),
+        log.where(of("setex", "psetex")).select("seq", F.lit("set").alias("cmd"), "key", F.slice("args", 2, 1).alias("args")),
+    ])
+    abroad = F.exists(F.slice("args", 2, 9), lambda x: F.lower(x) == "db")
+    dst = F.when(abroad, F.raise_error(F.lit("no fold for copy to another database")).cast("string")).otherwise(F.get("args", F.lit(0)))
+    moves = log.where(of(*MOVES)).select("seq", F.col("key").alias("src"), dst.alias("dst"), (F.col("cmd") == "copy").alias("copied")).where("src <> dst")
+    begins = F.when(F.col("copied"), 0).otherwise(1).cast("long")
+    ends = moves.select(F.col("dst").alias("key"), "seq", F.lit(1).cast("long").alias("begins"), F.lit("to").alias("role")).unionByName(moves.select(F.col("src").alias("key"), "seq", begins.alias("begins"), F.lit("from").alias("role")))
+    keys = ends.select("key").distinct()
+    rows = told.join(keys, "key", "left_semi").withColumn("begins", F.lit(0).cast("long")).withColumn("role", F.lit("row"))
+    spark = log.sparkSession
+    path = shared_folder(spark, "moves")
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    held = staged(numbering.running(rows.unionByName(ends, allowMissingColumns=True), ["seq"], F.col("begins"), "stretch"), "held")
+    into = held.where("role = 'to'").select("seq", F.col("key").alias("dst"), F.col("stretch").alias("into"))
+    links = staged(into.join(held.where("role = 'from'").select("seq", F.col("key").alias("src"), (F.col("stretch") - F.col("begins")).alias("out")), "seq"), "links")
+    last = held.where("role <> 'row'").groupBy("key").agg(F.max("stretch").alias("stretch"))
+    step = staged(last.select(F.col("key").alias("name"), "key", "stretch", F.lit(None).cast("long").alias("upto")), "0")
+    reached = [step]
+    while True:
+        found = step.join(links, (F.col("key") == F.col("dst")) & (F.col("stretch") == F.col("into"))).select("name", F.col("src").alias("key"), F.col("out").alias("stretch"), F.col("seq").alias("upto"))
+        step = staged(found, str(len(reached)))
+        if step.isEmpty():
+            break
+        reached.append(step)
+    moved = held.where("role = 'row'").join(reduce(DataFrame.unionByName, reached), ["key", "stretch"]).where("upto is null or seq < upto")
+    return told.join(keys, "key", "left_anti").select("seq", "cmd", "key", "args").unionByName(moved.select("seq", "cmd", F.col("name").alias("key"), "args"))
+
+
 def effective(log: DataFrame) -> DataFrame:
     """The log without what a later delete of its key or flush of the database undoes, and without those."""
     log = covered(log)

@@ -1,5 +1,7 @@
 """Folds of a command log that holds commands whose order matters, and of one that holds commands no fold reads."""
 
+import random
+
 import pytest
 
 from cairn.operators import strings
@@ -103,3 +105,52 @@ def test_compacted_log_folds_to_the_same(spark, monkeypatch):
     log = of([(seq, r["key"], r["cmd"], r["args"]) for seq, r in enumerate(rows)], "seq long, key string, cmd string, args array<string>")
     for read, was in zip((fold.strings, fold.lists, fold.hashes, fold.sets, fold.zsets), held):
         assert sorted(map(tuple, read(log).select(was.columns).collect())) == sorted(map(tuple, was.collect()))
+
+
+def simulated(n, seed):
+    """A log of commands that all take effect, and the key space they leave: strings as text, counters too, lists, sets."""
+    deal, held, out = random.Random(seed), {}, []
+    for _ in range(n):
+        cmd, a, b = deal.choice("set mset msetnx setex incr rpush sadd del rename rename renamenx copy copy".split()), *deal.sample("abcdefg", 2)
+        v, now = str(deal.randrange(100)), held.get(a)
+        if cmd in ("set", "setex"):
+            held[a], args = v, [v] if cmd == "set" else ["10", v]
+        elif cmd == "mset" or (cmd == "msetnx" and a not in held and b not in held):
+            held[a], held[b], args = "9", v, [v, b, v, a, "9"]
+        elif cmd == "incr" and (now is None or isinstance(now, str)):
+            held[a], args = str(int(now or 0) + 1), []
+        elif cmd == "rpush" and (now is None or isinstance(now, list)):
+            held[a], args = [*(now or []), v], [v]
+        elif cmd == "sadd" and (now is None or isinstance(now, frozenset)):
+            held[a], args = (now or frozenset()) | {v}, [v]
+        elif cmd == "del":
+            held, args = {k: x for k, x in held.items() if k not in (a, b)}, [b]
+        elif cmd in ("rename", "renamenx", "copy") and now is not None and (cmd == "rename" or b not in held):
+            held[b], args = now, [b]
+            if cmd != "copy":
+                del held[a]
+        else:
+            continue
+        out.append((cmd, a, *args))
+    return out, held
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_moves_against_a_plain_key_space(spark, seed):
+    log, held = simulated(140, seed)
+    assert {"rename", "renamenx", "copy", "mset", "del"} <= {c for c, *_ in log}
+    kept = fold.effective(fold.settled(logged(spark, log)))
+    found = {r.key: r.value for r in fold.strings(kept).collect()}
+    for r in fold.lists(kept).orderBy("key", "pos").collect():
+        found.setdefault(r.key, []).append(r["val"])
+    for r in fold.sets(kept).collect():
+        found[r.key] = found.get(r.key, frozenset()) | {r.member}
+    assert found == held
+
+
+def test_moves_at_the_edges(spark):
+    log = logged(spark, [("set", "a", "1"), ("rename", "a", "a"), ("copy", "a", "b", "REPLACE"), ("rename", "nosuch", "c"), ("incr", "b"), ("set", "x", "7")])
+    assert {r.key: r.value for r in fold.strings(fold.effective(fold.settled(log))).collect()} == {"a": "1", "b": "2", "x": "7"}
+    assert fold.settled(log.limit(0)).count() == 0
+    with pytest.raises(Exception, match="no fold for copy to another database"):
+        fold.settled(logged(spark, [("set", "a", "1"), ("copy", "a", "b", "db", "1")])).collect()
