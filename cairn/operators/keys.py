@@ -16,13 +16,25 @@ def live(keys: DataFrame, as_of_ms: int) -> DataFrame:
     return keys.where(F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") >= as_of_ms))
 
 
+def dealt(relation: DataFrame) -> DataFrame:
+    """The relation over all shuffle partitions by key. Adaptive execution merges small partitions to about one a core, whose share
+    grows with the input; it leaves a number that was asked for, and with it the join's other side."""
+    return relation.repartition(int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
+def _asked(req: DataFrame) -> DataFrame:
+    """key, __asked: what is joined where a semi or anti join would be pushed into every part of a union of relations, each of which
+    would sort all requests for itself in the same tasks."""
+    return req.select("key").distinct().withColumn("__asked", F.lit(True))
+
+
 def delete(relation: DataFrame, req: DataFrame) -> DataFrame:
     """What is left of any relation with a key."""
     return relation.join(req.select("key").distinct(), "key", "left_anti")
 
 
 def deleted_count(keys: DataFrame, req: DataFrame) -> DataFrame:
-    return keys.join(req.select("key").distinct(), "key", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return dealt(keys.select("key")).join(_asked(req), "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def exists_count(keys: DataFrame, req: DataFrame, as_of_ms: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,13 +80,10 @@ class KeySpace:
         return e.unionByName(self.typed_keys().select("key", "type", F.lit(None).cast("long").alias("expire_at_ms"), F.lit(1).cast("long").alias("version")))
 
     def typed_keys(self) -> DataFrame:
-        """key, type of the collections"""
-        pairs = (("string", self.strings()), ("list", self.lists()), ("hash", self.hashes()), ("set", self.sets()), ("zset", self.zsets()))
-        out = None
-        for kind, relation in pairs:
-            some = relation.select("key").distinct().select("key", F.lit(kind).alias("type"))
-            out = some if out is None else out.unionByName(some)
-        return out
+        """key, type of the collections, from the columns that name them"""
+        named = (("string", "part", "part:", "p_partkey"), ("list", "events", "user:", "user_id"), ("hash", "customer", "customer:", "c_custkey"), ("set", "orders", "prio:", "o_orderpriority"), ("zset", "customer", "nation:", "c_nationkey"))
+        some = [self._t(name).select(key(prefix, column).alias("key")).distinct().select("key", F.lit(kind).alias("type")) for kind, name, prefix, column in named]
+        return reduce(DataFrame.unionByName, some)
 
     def events(self) -> DataFrame:
         return self._t("events")
