@@ -30,7 +30,7 @@ def _asked(req: DataFrame) -> DataFrame:
 
 def delete(relation: DataFrame, req: DataFrame) -> DataFrame:
     """What is left of any relation with a key."""
-    return relation.join(req.select("key").distinct(), "key", "left_anti")
+    return dealt(relation).join(_asked(req), "key", "left").where("__asked is null").select(*relation.columns)
 
 
 def deleted_count(keys: DataFrame, req: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def rename(keys: DataFrame, moves: DataFrame) -> DataFrame:
     """keys after moves (src, dst): the entity and its expiry move, whatever stood at dst goes. src = dst changes nothing; a
     missing src leaves dst alone. Of several moves to one dst, the one whose src comes first wins."""
     real = _one_to_each(moves).where("src <> dst").join(keys.select(F.col("key").alias("src")), "src", "left_semi")
-    kept = keys.join(real.select(F.col("dst").alias("key")), "key", "left_anti").join(real.select(F.col("src").alias("key")), "key", "left_anti")
+    kept = delete(keys, real.select(F.col("dst").alias("key")).unionByName(real.select(F.col("src").alias("key"))))
     moved = keys.join(real.select(F.col("src").alias("key"), "dst"), "key").drop("key").withColumnRenamed("dst", "key").select(*keys.columns)
     return kept.unionByName(moved)
 
@@ -90,7 +90,7 @@ def copy(keys: DataFrame, moves: DataFrame, replace: bool = False) -> DataFrame:
     free = moves if replace else moves.join(keys.select(F.col("key").alias("dst")), "dst", "left_anti")
     real = free.where("src <> dst").join(keys.select(F.col("key").alias("src")), "src", "left_semi")
     made = keys.join(real.select(F.col("src").alias("key"), "dst"), "key").drop("key").withColumnRenamed("dst", "key").select(*keys.columns)
-    return keys.join(real.select(F.col("dst").alias("key")), "key", "left_anti").unionByName(made)
+    return delete(keys, real.select(F.col("dst").alias("key"))).unionByName(made)
 
 
 def expire(keys: DataFrame, at: Column) -> DataFrame:

@@ -30,3 +30,16 @@ def test_many_small_partitions_are_not_merged(spark):
         assert joined.rdd.getNumPartitions() == 37
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_delete_joins_the_requests_once(spark):
+    held = KeySpace(spark, SF).keys()
+    df = keys.delete(held, asked(spark))
+    assert df.columns == held.columns and df.count() == held.count() - 2
+    assert df.where("key in ('evt:1', 'nation:3')").isEmpty()
+    assert plan(df, "optimizedPlan").count("Join ") == 1
+
+
+def test_delete_keeps_null_keys_and_repeated_rows(spark):
+    held = spark.createDataFrame([(1, None), (2, "a"), (2, "a"), (3, "evt:1"), (4, "evt:1")], "n int, key string")
+    assert sorted(map(tuple, keys.delete(held, asked(spark)).collect())) == [(1, None), (2, "a"), (2, "a")]
