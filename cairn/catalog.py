@@ -957,7 +957,8 @@ def _(ks):
     gone = c.where("seq % 400 = 0").select((F.col("seq") * 2 + 1).alias("seq"), F.lit("del").alias("cmd"), F.lit("nosuch").alias("key"), F.array(F.lit("spend")).alias("args"))
     path = live.shared_folder(ks.spark, "log")
     wire.write_log(made.unionByName(gone).withColumn("db", F.lit(0)).repartitionByRange("seq").sortWithinPartitions("seq"), path)
-    log = fold.effective(wire.in_order(wire.read_log(ks.spark, path)))
+    # each fold uses its log several times, and the files are to be read once
+    log = live.staged(fold.effective(live.staged(wire.in_order(wire.read_log(ks.spark, path)), "read")), "effective")
     none = F.lit("")
     return (
         fold.strings(log).select(F.lit("string").alias("type"), "key", none.alias("name"), F.col("value").alias("val"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,6 +26,15 @@ def encode_command(words: list[bytes]) -> bytes:
     return b"*%d\r\n" % len(words) + b"".join(b"$%d\r\n%s\r\n" % (len(w), w) for w in words)
 
 
+def encode_texts(commands: Iterable[Collection[str]]) -> bytes:
+    """encode_command of each of the commands, whose words are texts."""
+    out = []
+    for words in commands:
+        out.append(f"*{len(words)}\r\n")
+        out += [f"${len(w) if w.isascii() else len(w.encode())}\r\n{w}\r\n" for w in words]
+    return "".join(out).encode()
+
+
 def encode_reply(value) -> bytes:
     """None, integers, bytes, lists, text (a status) and exceptions (an error)."""
     if value is None:
@@ -158,12 +167,15 @@ class LogWriter(DataSourceArrowWriter):
         store.create_dir(folder, recursive=True)
         name, out, db = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.aof", None, None
         for batch in iterator:
-            for row in batch.to_pylist():
+            commands = []
+            for at, cmd, key, args in zip(*(batch.column(c).to_pylist() for c in ("db", "cmd", "key", "args"))):
+                if at != db:
+                    db = at
+                    commands.append(("select", str(db or 0)))
+                commands.append([w for w in (cmd, key, *(args or ())) if w is not None])
+            if commands:
                 out = out or store.open_output_stream(f"{folder}/{name}", buffer_size=BUFFER)
-                if row["db"] != db:
-                    db = row["db"]
-                    out.write(encode_command([b"select", str(db or 0).encode()]))
-                out.write(encode_command([w.encode() for w in (row["cmd"], row["key"], *(row["args"] or [])) if w is not None]))
+                out.write(encode_texts(commands))
         if out:
             out.close()
         return Written(TaskContext.get().partitionId(), name if out else "")

@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/cairn-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into a new shared folder and read back: what comes before runs once, however often df is used."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Counters(StatefulProcessor):
     """One counter a key from rows (key, seq, delta, expire_at_ms). The expiry of the row with the largest seq that sets one holds:
     it takes the place of an earlier one, whose timer is deleted. When the timer fires, the counter is gone and the next row starts

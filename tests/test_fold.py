@@ -4,9 +4,11 @@ import random
 
 import pytest
 
+from cairn import catalog
 from cairn.operators import strings
 from cairn.plans import fold, transactions
 from cairn.sources import wire
+from tests.conftest import SF
 
 
 def logged(spark, commands):
@@ -154,3 +156,14 @@ def test_moves_at_the_edges(spark):
     assert fold.settled(log.limit(0)).count() == 0
     with pytest.raises(Exception, match="no fold for copy to another database"):
         fold.settled(logged(spark, [("set", "a", "1"), ("copy", "a", "b", "db", "1")])).collect()
+
+
+def test_state_reads_the_log_files_once(spark):
+    """The folds read what was kept of the files: none of their branches goes back to the Python source."""
+    plan = catalog.QUERIES["log_fold_state"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "cairn_log" not in plan
+
+
+def test_texts_are_encoded_like_commands():
+    commands = [("set", "k", "héllo €"), ("del", "a", ""), ("rpush", "l", "x\r\ny")]
+    assert wire.encode_texts(commands) == b"".join(wire.encode_command([w.encode() for w in c]) for c in commands)
