@@ -1,13 +1,13 @@
-"""License notices in texts, by exact seeds, word differences and conditional compression.
+"""License notices in texts, by conditional compression, confirmed by word differences.
 
 A template is found where at most MAX_DIFFERENT of its words differ (inserted, deleted or replaced), and it is exact where none
 does. Such a place holds at least one of the template's seeds unchanged: a template in which d words may differ is cut into d + 1
-runs of words, and d differences can't reach all of them. So every place that qualifies is compared word by word, wherever it
-stands in a line or text and however many notices stand there.
+runs of words, and d differences can't reach all of them. Seeds only say where to look, wherever that is in a line or text and
+however many notices stand there. Each such stretch is compressed alone and with the template as a raw zstandard dictionary: a
+template that saves no byte of it is dropped, and what it saves is compared word by word.
 
-Notices don't overlap. Where they would, the one that agrees in more words is taken first, then the one whose template saves more:
-the matched words are compressed alone and with the template as a raw zstandard dictionary, and saved is the share of bytes saved.
-What a taken notice leaves of another's stretch is compared again.
+Notices don't overlap. Where they would, the one whose template saves more bytes of its matched words is taken first; saved is
+the share of bytes saved. What a taken notice leaves of another's stretch is compressed and compared again.
 
 Cue words are tested on the JVM first, so texts without any never reach Python. Each template has more words with a cue than may
 differ, so no text with a notice is without one.
@@ -16,7 +16,7 @@ Defined cases
     null or empty text   no notices
     null doc_id          its notices have a null doc_id
     repeated rows        each row's notices are returned
-    ties                 the template whose name comes first, then the earlier place
+    ties in bytes        the template that agrees in more words, then whose name comes first, then the earlier place
     empty table          no rows
     extra columns        not returned
 """
@@ -118,11 +118,13 @@ def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
     return cost[end], begin[end], end
 
 
-def savings(block: list[str], name: str) -> float:
-    """Share of the block's compressed bytes that the template saves."""
+def savings(block: list[str], name: str) -> tuple[int, float]:
+    """Bytes of the compressed block that the template saves as a dictionary, and their share of what the block takes alone."""
     alone, templates, *_ = _prepared()
     data = " ".join(block).encode()
-    return 1 - len(templates[name][1].compress(data)) / len(alone.compress(data))
+    whole = len(alone.compress(data))
+    saved = whole - len(templates[name][1].compress(data))
+    return saved, saved / whole
 
 
 def _places(words: list[str]) -> set[tuple[str, int]]:
@@ -134,21 +136,21 @@ def _places(words: list[str]) -> set[tuple[str, int]]:
 
 def _match(words: list[str], name: str, start: int, low: int, high: int):
     """Best match of the template that begins near start, within words low to high: rank (least first), begin, end, saved, differing
-    words; None where too many differ."""
+    words; None where the template saves nothing of the stretch, or too many differ."""
     template = _prepared()[1][name][0]
     n, d = len(template), may_differ(template)
+    u, v = max(low, start - d), min(high, start + n + d)
+    if v - u < n - d or savings(words[u:v], name)[0] <= 0:
+        return None
     if low <= start and start + n <= high and words[start : start + n] == template:
         differ, i, j = 0, start, start + n
     else:
-        u, v = max(low, start - d), min(high, start + n + d)
-        if v - u < n - d:
-            return None
         differ, i, j = differences(words[u:v], template)
         i, j = u + i, u + j
         if differ > d:
             return None
-    saved = savings(words[i:j], name)
-    return (2 * differ - n, -saved, name, i), i, j, saved, differ
+    saved, share = savings(words[i:j], name)
+    return (-saved, 2 * differ - n, name, i), i, j, share, differ
 
 
 def scan(text: str) -> list[tuple[str, int, int, float, int, bool]]:
@@ -159,7 +161,7 @@ def scan(text: str) -> list[tuple[str, int, int, float, int, bool]]:
     heapq.heapify(heap)
     taken: list[tuple[int, int, str, float, int]] = []
     while heap:
-        (_, _, name, _), i, j, saved, differ, start = heapq.heappop(heap)
+        (*_, name, _), i, j, saved, differ, start = heapq.heappop(heap)
         k = bisect.bisect_left(taken, (i,))
         if not (k and taken[k - 1][1] > i) and not (k < len(taken) and taken[k][0] < j):
             taken.insert(k, (i, j, name, saved, differ))
