@@ -299,10 +299,16 @@ def scored(asks: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return dealt.select("kind", "id", "v", "want").mapInArrow(run, "start bigint, found array<struct<s:float,node:bigint,open:boolean>>")
 
 
+def parts_of(spark: SparkSession, n: int) -> int:
+    """Parts that n nodes are dealt to: three a core, or as many as keep a part within PART_NODES. A query asks each of them at most
+    once a round, so their number does not follow the session's shuffle partitions."""
+    return max(3 * spark.sparkContext.defaultParallelism, -(-n // PART_NODES))
+
+
 def search(starts: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
     """start, node: the final beam of a search from each of starts (start: a node) for its own vector."""
     spark = nodes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // PART_NODES))
+    parts = parts_of(spark, nodes.count())
     links, links_path = ws.stage(links_of(graph), "nn-links")
     mine = nodes.join(starts, nodes["node"] == starts["start"]).select("start", F.col("v").alias("q"))
     nothing = F.array(F.struct(F.lit(0.0).cast("float").alias("s"), F.col("start").alias("node"), F.lit(True).alias("open")))
@@ -316,8 +322,11 @@ def search(starts: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BE
             pairs = pairs.unionByName(open_.select("start", F.col("node").alias("nbr")))
         part = F.pmod(F.xxhash64("nbr"), F.lit(parts)).cast("int")
         wanted = pairs.repartition("start").groupBy("start", part.alias("part")).agg(F.collect_set("nbr").alias("want"))
+        # one row a query meets its beam, however many parts it asks
+        wanted = wanted.groupBy("start").agg(F.collect_list(F.struct("part", "want")).alias("parts"))
         known = F.array().cast("array<bigint>") if first else F.transform("beam", lambda x: x["node"])
-        asks = wanted.join(state, "start").select("start", "q", "part", F.array_except("want", known).alias("want")).where(F.size("want") > 0)
+        told = wanted.join(state, "start").select("start", "q", known.alias("known"), F.explode("parts").alias("p"))
+        asks = told.select("start", "q", "p.part", F.array_except("p.want", "known").alias("want")).where(F.size("want") > 0)
         found = scored(asks, nodes, parts).groupBy("start").agg(F.flatten(F.collect_list("found")).alias("found"))
         empty = F.array().cast("array<struct<s:float,node:bigint,open:boolean>>")
         if first:  # the start is expanded by now, and comes back with its score

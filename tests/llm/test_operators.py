@@ -392,6 +392,28 @@ def test_licenses_in_long_lines_and_side_by_side(spark):
     assert [(name, n) for _, name, _, n in sorted(found[len(names) + 1])] == [(name, int("zzz" in text)) for name, text in zip(names, near)]
 
 
+def test_licenses_are_chosen_by_compression(monkeypatch):
+    """A template that saves nothing is not found, however well its words agree; of two at one place, that which saves more bytes is taken."""
+    text = licenses.TEMPLATES["MIT-text"]
+    assert [x[0] for x in licenses.scan(text)] == ["MIT-text"]
+    real = licenses.savings
+    monkeypatch.setattr(licenses, "savings", lambda block, name: (0, 0.0) if name == "MIT-text" else real(block, name))
+    assert [x[0] for x in licenses.scan(text)] == ["MIT-full"]
+    monkeypatch.setattr(licenses, "savings", lambda block, name: (1 if name == "MIT-text" else 2, 0.5))
+    assert [x[0] for x in licenses.scan(text)] == ["MIT-full"]
+
+
+def test_licenses_compression_loses_no_place_that_qualifies():
+    for name, text in licenses.TEMPLATES.items():
+        words = [w for w, *_ in licenses.plain_words(text)]
+        d = licenses.may_differ(words)
+        for shift in range(5):
+            near, other = list(words), [f"{hashlib.md5(f'{shift} {k}'.encode()).hexdigest()[:7]}" for k in range(3 * d)]
+            for k in range(d):
+                near[(len(words) * (2 * k + 1) // (2 * d) + shift) % len(words)] = other[k]
+            assert licenses.savings(other[d : 2 * d] + near + other[2 * d :], name)[0] > 0
+
+
 def test_licenses_no_notice_without_a_cue():
     for text in licenses.TEMPLATES.values():
         words = [w for w, *_ in licenses.plain_words(text)]
@@ -416,6 +438,20 @@ def test_neighbours_recall_and_scores(spark):
     assert hit >= 0.9 * total
 
 
+def test_neighbours_parts_follow_nodes_and_cores(spark):
+    """A query asks every part: with as many parts as shuffle partitions, questions grew with that setting."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (18, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(neighbours.parts_of(spark, 10_260))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == [3 * spark.sparkContext.defaultParallelism] * 2
+    assert neighbours.parts_of(spark, 10**8) == -(-(10**8) // neighbours.PART_NODES)
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 2.0]), (7, [1.0]), (8, [float("inf"), 0.0]), (20, [2.0, 1.0, 0.0]), (9, [1.0, 1.0, 1.0]), (0, [1.0, 0.0]), (0, [0.0, 3.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash")).withColumn("node", F.lit("clash"))
