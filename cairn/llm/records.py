@@ -83,10 +83,11 @@ class Written(WriterCommitMessage):
 
 
 class RecordWriter(DataSourceArrowWriter):
-    """Rows (doc_id, ids, width), in the order in which the task gets them."""
+    """Rows (doc_id, ids, width), in the order in which the task gets them; with a tokenizer, rows (doc_id, text), whose ids and end
+    id are made in the process that writes them."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, tokenizer: str | None = None, end_id: int = END_ID):
+        self.path, self.tokenizer, self.end_id, self.job = path, tokenizer, end_id, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, folder = open_folder(self.path)
@@ -94,7 +95,7 @@ class RecordWriter(DataSourceArrowWriter):
         part, name = TaskContext.get().partitionId(), None
         out = index = None
         records = total = at = 0
-        for batch in iterator:
+        for batch in encoded(iterator, self.tokenizer, self.end_id, self.job) if self.tokenizer else iterator:
             if not batch.num_rows:
                 continue
             if out is None:
@@ -177,42 +178,46 @@ class TokenRecords(DataSource):
         return RecordReader(self.options["path"], self.options.get("ids", "true").lower() != "false")
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return RecordWriter(self.options["path"])
+        return RecordWriter(self.options["path"], self.options.get("tokenizer"), int(self.options.get("end_id", END_ID)))
+
+
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, job: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, ids, width) from batches of (doc_id, text), in the same order."""
+    e = tokens.shared(tokenizer, job)
+    end = np.array([end_id], e.dtype).tobytes()
+    for batch in batches:
+        made, held, first = [], 0, 0
+        doc_ids, texts = batch.column(0), batch.column(1)
+        for i in range(batch.num_rows):
+            made.append(e.encode(texts[i].as_py() or "") + end)
+            held += len(made[-1])
+            if held > BATCH_BYTES or i == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(made)), pa.array(made, pa.binary()), pa.array(np.full(len(made), e.width, np.int32))], names=["doc_id", "ids", "width"])
+                made, held, first = [], 0, i + 1
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids, width) of whole texts, row by row in the order of docs."""
     import public_tokenizers
 
-    path = tokenizer or public_tokenizers.path(TOKENIZER)
-
-    def run(batches):
-        e = tokens.Encoder(path)
-        end = np.array([end_id], e.dtype).tobytes()
-        for batch in batches:
-            made, held, first = [], 0, 0
-            doc_ids, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                made.append(e.encode(texts[i].as_py() or "") + end)
-                held += len(made[-1])
-                if held > BATCH_BYTES or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(made)), pa.array(made, pa.binary()), pa.array(np.full(len(made), e.width, np.int32))], names=["doc_id", "ids", "width"])
-                    made, held, first = [], 0, i + 1
+    path, job = tokenizer or public_tokenizers.path(TOKENIZER), uuid.uuid4().hex
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: encoded(batches, path, end_id, job), "doc_id bigint, ids binary, width int")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary, width int")
 
-
-def write_records(docs: DataFrame, path: str, **how) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes the ids of docs to files under path, in ascending doc_id order over all files.
 
-    Texts are dealt out by ranges of (doc_id, hash of the text) and encoded after that, so the order costs one shuffle of the
-    texts and the pass that samples the ranges encodes nothing.
+    Texts are dealt out by ranges of (doc_id, hash of the text) and encoded after that, by the writer itself, so the order costs one
+    shuffle of the texts and the pass that samples the ranges encodes nothing.
     """
+    import public_tokenizers
+
     spark = docs.sparkSession
     spark.dataSource.register(TokenRecords)
-    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = narrow.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    encode(ordered.select("doc_id", "text"), **how).write.format("cairn_records").mode("append").save(path)
+    how = {"tokenizer": tokenizer or public_tokenizers.path(TOKENIZER), "end_id": end_id}
+    ordered.select("doc_id", "text").write.format("cairn_records").options(**how).mode("append").save(path)
 
 
 def read_records(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:

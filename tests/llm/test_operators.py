@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -244,6 +245,38 @@ def test_memo_stays_within_its_bytes():
     assert 0 < memo.held <= 20_000 and len(memo) < 150
 
 
+def test_memo_keeps_what_is_asked_often():
+    asked = Counter()
+    memo = tokens.Memo(lambda key: asked.update([key]) or len(key), most=20_000)
+    for i in range(500):
+        assert memo[f"piece {i}"] == len(f"piece {i}") and memo["often"] == 5
+        assert (len(memo) + len(memo.older)) * memo.ENTRY <= 20_000
+    assert asked["often"] == 1 and len(asked) == 501
+
+
+def test_tasks_of_a_job_share_their_pieces():
+    """A piece is merged once in a process, not once in each task; another job starts anew."""
+    path, ids = public_tokenizers.path(records.TOKENIZER), []
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["quorvel thax, naïve\n\n  quorvel", None, "it's 12 <|endoftext|> 日本"]})
+    merged = Counter()
+    for job in ("a", "a", "b"):
+        e = tokens.shared(path, job)
+        e.pieces.f = lambda piece, job=job, f=e.pieces.f: merged.update([(job, piece)]) or f(piece)
+        ids.append([x.as_py() for made in records.encoded(iter([batch]), path, 2, job) for x in made.column("ids")])
+    library = Tokenizer.from_file(path)
+    expected = [np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u2").tobytes() for t in batch.column("text").to_pylist()]
+    assert ids == [expected] * 3 and max(merged.values()) == 1 and {job for job, _ in merged} == {"a", "b"}
+
+
+def test_records_take_ids_as_well_as_texts(spark, docs):
+    few = docs.where("doc_id < 50")
+    records.write_records(few, texts := ws.new_path(spark, "t"))
+    ordered = few.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id")
+    records.encode(ordered).write.format("cairn_records").mode("append").save(ids := ws.new_path(spark, "t"))
+    found = [sorted(tuple(r) for r in records.read_records(spark, p).collect()) for p in (texts, ids)]
+    assert found[0] == found[1] and len(found[0]) == few.count()
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
