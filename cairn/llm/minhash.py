@@ -304,7 +304,8 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def find_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows, final = resolve(docs)
+    with ws.small_batches(docs.sparkSession):
+        rows, final = resolve(docs)
     out = rows.join(final.withColumn("found", F.lit(True)), "node", "left")
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -312,7 +313,8 @@ def find_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component. Of rows that are equal in id and text any one stays: each task sends one."""
-    rows, final = resolve(docs)
+    with ws.small_batches(docs.sparkSession):
+        rows, final = resolve(docs)
     judged = rows.join(final, "node").groupBy("key").agg(F.first(F.col("key") == F.col("stays")).alias("__stays"), (F.count(F.lit(1)) > 1).alias("__several"))
     judged, _ = ws.stage(judged.withColumnRenamed("key", "__key"), "mh-judged")
     few = judged.count() <= BROADCAST_ROWS

@@ -11,7 +11,7 @@ loosely filled are pooled and evolved once more, so shards cost no sequence each
 
 Defined cases
     null or empty text   the end id alone: a piece of one token
-    very long texts      cut into pieces; pieces leave a task in batches of about BATCH_BYTES
+    very long texts      cut into pieces; texts come to a task, and pieces leave it, in batches of a few MB, or of one text
     null doc_id          packed like others, doc_id stays null
     repeated rows        each row has pieces of its own
     ties                 pieces of one length are ordered by their number; random choices are seeded by shard, island, epoch
@@ -230,7 +230,8 @@ def _grouped(items: DataFrame, length: int, seed: int, items_per_shard: int) ->
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, items_per_shard: int = SHARD_ITEMS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids, width, sequence_id, offset of every piece of docs."""
     spark = docs.sparkSession
-    cut, _ = ws.stage(pieces(docs, length, tokenizer, end_id).withColumn("pid", F.monotonically_increasing_id()), "pack-pieces")
+    with ws.small_batches(spark):
+        cut, _ = ws.stage(pieces(docs, length, tokenizer, end_id).withColumn("pid", F.monotonically_increasing_id()), "pack-pieces")
     whole = cut.where(F.col("length") == length).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < length).select("pid", "length")
     first, paths = _grouped(rest, length, 1, items_per_shard)

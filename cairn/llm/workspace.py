@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word of a text, as all operators here read it.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that a Python worker is given at a time in small_batches.
+BATCH_BYTES = 4 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -39,6 +43,21 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand their rows to Python by BATCH_BYTES, and a row. By itself Spark hands over 10,000 rows at a time, of
+    whole texts tens of MB, which the JVM and the worker then hold side by side. A limit that the session sets itself stands."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(limit, None) is not None
+    if not own:
+        spark.conf.set(limit, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(limit)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes staged tables that no later step reads."""
     for path in paths:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -268,6 +269,31 @@ def test_tasks_of_a_job_share_their_pieces():
     assert ids == [expected] * 3 and max(merged.values()) == 1 and {job for job, _ in merged} == {"a", "b"}
 
 
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
+@pytest.mark.parametrize("of, step, run", [(packing, "pieces", packing.pack), (minhash, "sketches", minhash.keep_one)])
+def test_workers_get_long_texts_by_few_megabytes(spark, monkeypatch, of, step, run):
+    """A partition of 40 MB of texts isn't handed over whole."""
+    largest, real = spark.sparkContext.accumulator(0, Largest()), getattr(of, step)
+
+    def seen(batches):
+        for batch in batches:
+            largest.add(batch.nbytes)
+            yield batch
+
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.rpad(F.concat(F.lit("text "), "id"), 20_000, " x").alias("text"))
+    monkeypatch.setattr(of, step, lambda docs, *rest: real(docs.mapInArrow(seen, docs.schema), *rest))
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert run(docs).count() >= 2000 and spark.conf.get(limit, None) is None
+    assert 0 < largest.value <= ws.BATCH_BYTES + 50_000
+
+
 def test_records_take_ids_as_well_as_texts(spark, docs):
     few = docs.where("doc_id < 50")
     records.write_records(few, texts := ws.new_path(spark, "t"))
