@@ -46,15 +46,15 @@ LOOSE = 0.9
 BATCH_BYTES = 16 << 20
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids (of `width` bytes) of whole texts."""
+def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, memory: int = tokens.SHARED_BYTES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids (of `width` bytes) of whole texts. memory: bytes of pieces that a worker process remembers."""
     import public_tokenizers
 
     path, job = tokenizer or public_tokenizers.path(TOKENIZER), uuid.uuid4().hex
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "width": pa.int32(), "ids": pa.binary()}
 
     def run(batches):
-        e = tokens.shared(path, job)
+        e = tokens.shared(path, job, memory)
         end = np.array([end_id], e.dtype).tobytes()
         for batch in batches:
             rows, held = [], 0
@@ -227,11 +227,12 @@ def _grouped(items: DataFrame, length: int, seed: int, items_per_shard: int) ->
     return best.join(start, "shard").mapInPandas(lay, "shard int, pid bigint, length bigint, bin int, offset bigint, fill bigint"), paths
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, items_per_shard: int = SHARD_ITEMS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids, width, sequence_id, offset of every piece of docs."""
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = END_ID, items_per_shard: int = SHARD_ITEMS, memory: int = tokens.SHARED_BYTES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids, width, sequence_id, offset of every piece of docs. memory: see pieces, no matter
+    for the result."""
     spark = docs.sparkSession
     with ws.small_batches(spark):
-        cut, _ = ws.stage(pieces(docs, length, tokenizer, end_id).withColumn("pid", F.monotonically_increasing_id()), "pack-pieces")
+        cut, _ = ws.stage(pieces(docs, length, tokenizer, end_id, memory).withColumn("pid", F.monotonically_increasing_id()), "pack-pieces")
     whole = cut.where(F.col("length") == length).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < length).select("pid", "length")
     first, paths = _grouped(rest, length, 1, items_per_shard)

@@ -126,10 +126,10 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def shared(path: str, job: str) -> Encoder:
+def shared(path: str, job: str, most: int = SHARED_BYTES) -> Encoder:
     """One encoder for all tasks of a job in this worker process: about half of a task's distinct pieces were in the tasks before.
-    The next job's takes its place, so a process holds one."""
-    return Encoder(path, SHARED_BYTES)
+    The next job's takes its place, so a process holds one, with `most` bytes of pieces."""
+    return Encoder(path, most)
 
 
 def wide(ids: bytes, width: int) -> bytes:

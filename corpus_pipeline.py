@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import minhash, mixing, packing, quality, toxicity
+from cairn.llm import minhash, mixing, packing, quality, tokens, toxicity
 from cairn.llm import workspace as ws
 
 
@@ -33,8 +33,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and place in it."""
-    return packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Pieces of token ids with their sequence and place in it. Executors come here with the heap and the workers of four stages, so
+    workers remember no more pieces than a single task would; what they forget they merge again."""
+    return packing.pack(docs, memory=tokens.REMEMBERED_BYTES).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("toxicity", clean), ("quality rules", good), ("near-duplicates", distinct), ("mixing", mixed), ("packing", sequences)]

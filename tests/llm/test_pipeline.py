@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import packing
+from cairn.llm import packing, tokens
 from cairn.llm import workspace as ws
 from tests.conftest import SF
 
@@ -64,6 +64,15 @@ def test_stages_on_odd_rows(spark, odd):
     assert packed.groupBy("sequence_id").sum("length").where(f"`sum(length)` > {packing.LENGTH}").count() == 0
 
 
+def test_packing_after_other_stages_remembers_few_pieces(spark, odd, monkeypatch):
+    """And what a worker remembers doesn't matter for the ids."""
+    given, real = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda docs, **how: given.append(how) or real(docs, **how))
+    assert STAGES["packing"](spark, odd.limit(3), SF).count() == 3 and given == [{"memory": tokens.REMEMBERED_BYTES}]
+    few, many = (Counter(packing.pieces(odd, memory=m).select("doc_id", "piece", "length", "ids_crc32").collect()) for m in (2_000, tokens.SHARED_BYTES))
+    assert few == many and sum(few.values()) > 20
+
+
 def test_stages_on_no_documents(spark):
     docs = ws.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
