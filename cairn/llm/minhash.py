@@ -10,7 +10,7 @@ keeps most company over all its buckets (the middle of a group of copies, if the
 pairs on the full sets and joins nodes into components. Round two takes the nodes of buckets that still span several components and
 joins them on the shingles of their prefixes. A prefix is the rarest 15 percent of a set, and one: in an order that is the same for
 all, two sets of similarity 0.85 or more share a shingle of their prefixes. Counts in a table of COUNTS places, made over all sets
-that are compared, tell rare from frequent; collisions there cost time, not links. Of the nodes that share such a shingle, those of
+that share a bucket, tell rare from frequent; collisions there cost time, not links. Of the nodes that share such a shingle, those of
 the component that has most of them there are paired with the others only, not with each other, so a group of m copies in one
 component costs m pairs and not their square; Spark may split the join of a shingle that many share.
 
@@ -18,6 +18,9 @@ Two tests, both exact, rule out pairs before their sets are compared: sizes, and
 of shingles, whether a set has an odd number of them (two sets differ by at least as many shingles as their sketches by bits). After
 round two every pair that shares a bucket is linked, refuted, or inside one component. No bucket is capped.
 
+What is shuffled. Nodes go by a number, not by their digest. Sizes and sketches are kept apart for nodes that share a bucket, which are
+few. Of their texts the text is shuffled, once, to drop repeated rows; their sets only to be verified, and then those that a pair names.
+
 Components are found by label propagation with pointer jumping: joins and minima, staged after each round.
 
 Defined cases
@@ -55,9 +58,11 @@ COUNTS = 1 << 18
 _PARITY = [f"p{k}" for k in range(16)]
 #: Shingles are permuted in blocks of so many.
 BLOCK = 512
-#: Up to so many row keys, those of the texts to verify are broadcast (about 100 bytes each, 50 MB); beyond, the texts are shuffled to
-#: them, with the same rows.
+#: Up to so many row keys, those of the texts to verify are broadcast (about 100 bytes each, 50 MB); beyond, a table of KEY_BITS bits is,
+#: and the texts that it can't rule out are shuffled to the keys, with the same rows.
 BROADCAST_ROWS = 500_000
+#: 16 MB, for tables of any size.
+KEY_BITS = 1 << 27
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -113,26 +118,26 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, node (digest of the set; null: empty), bands, p0..p15 (the parity sketch) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))] + [(p, pa.int64()) for p in _PARITY])
+    """doc_id, key, n, digest (of the set; null: empty), bands, p0..p15 (the parity sketch) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))] + [(p, pa.int64()) for p in _PARITY])
 
     def run(batches):
         for batch in batches:
-            ns, nodes, bands, odd = [], [], [], []
+            ns, digests, bands, odd = [], [], [], []
             for text in batch.column(2):
                 s = shingle_hashes(text.as_py())
                 ns.append(len(s))
                 odd.append(parity_of(s))
                 if len(s):
-                    nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     bands.append(bands_of(signature(s)))
                 else:
-                    nodes.append(None)
+                    digests.append(None)
                     bands.append(None)
             words = np.array(odd, np.int64).reshape(len(ns), len(_PARITY))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(len(_PARITY))]], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(len(_PARITY))]], schema=schema)
 
-    spark_schema = "doc_id bigint, key binary, n bigint, node binary, bands array<bigint>, " + ", ".join(f"{p} bigint" for p in _PARITY)
+    spark_schema = "doc_id bigint, key binary, n bigint, digest binary, bands array<bigint>, " + ", ".join(f"{p} bigint" for p in _PARITY)
     return keyed(docs).mapInArrow(run, spark_schema)
 
 
@@ -146,6 +151,16 @@ def row_key():
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with __maybe, which is false only where key is none of keys."""
+    place = F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+    parts = keys.select(place.alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
+    bit = F.bitmap_bit_position("__at")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    placed = rows.withColumn("__at", place).withColumn("__part", F.bitmap_bucket_number("__at")).join(F.broadcast(parts), "__part", "left")
+    return placed.withColumn("__maybe", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("__at", "__part", "__bits")
+
+
 def shingle_sets(texts: DataFrame) -> DataFrame:
     """node, s (its shingle hashes) of a frame (node, text)."""
 
@@ -153,7 +168,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
 
-    return texts.mapInArrow(run, "node binary, s array<bigint>")
+    return texts.mapInArrow(run, "node bigint, s array<bigint>")
 
 
 def _longs(scalar) -> np.ndarray:
@@ -172,9 +187,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    named = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    left = named.select(F.col("node").alias("a"), F.col("s").alias("x"))
+    right = named.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -213,9 +229,9 @@ def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
                 tokens.append(s[np.lexsort((s, shared.value[s & (COUNTS - 1)]))[: len(s) - least + 1]])
                 nodes += [node.as_py()] * len(tokens[-1])
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(tokens))], names=["node", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(tokens))], names=["node", "token"])
 
-    return sets.select("node", "s").mapInArrow(run, "node binary, token bigint")
+    return sets.select("node", "s").mapInArrow(run, "node bigint, token bigint")
 
 
 def _close(x: str, y: str):
@@ -262,13 +278,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, key, n, node of every row; and for each node that has copies or links its component_id and the key of the one row
+    """doc_id, key, n, digest of every row; and for each digest that has copies or links its component_id and the key of the one row
     that stays (of the smallest id)."""
     spark = docs.sparkSession
     rows, _ = ws.stage(sketches(docs), "mh-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("f")
-    grouped = rows.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in _PARITY])
-    nodes, nodes_path = ws.stage(grouped, "mh-nodes")
+    grouped = rows.where("digest is not null").groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in _PARITY])
+    nodes, nodes_path = ws.stage(grouped.withColumn("node", F.monotonically_increasing_id()), "mh-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared, shared_path = ws.stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mh-shared")
     members, members_path = ws.stage(buckets.join(shared.hint("merge"), "key"), "mh-members")
@@ -276,37 +292,38 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = (F.max(F.struct("company", "node"))["node"], *[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS - 1)])
     pivots = members.join(company, "node").groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("p")).select("key", F.explode("p").alias("pivot"))
     pivots, pivots_path = ws.stage(pivots, "mh-pivots")
-    info = nodes.select("node", "n", *_PARITY)
+    wanted, wanted_path = ws.stage(members.select("node").distinct().join(nodes.select("node", F.col("f.key").alias("key"), "n", *_PARITY), "node"), "mh-wanted")
+    info = wanted.select("node", "n", *_PARITY)
     star = members.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(info.alias("x"), F.col("a") == F.col("x.node")).join(info.alias("y"), F.col("b") == F.col("y.node")).where(_close("x", "y")).select("a", "b")
     star, star_path = ws.stage(star, "mh-star")
-    wanted, wanted_path = ws.stage(members.select("node").distinct().join(nodes.select("node", F.col("f.key").alias("key")), "node"), "mh-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = keyed(docs.select("doc_id", "text")).join(F.broadcast(wanted) if few else wanted, "key").select("node", "text")
-    sets, sets_path = ws.stage(shingle_sets(texts).dropDuplicates(["node"]), "mh-sets")
+    of_key = wanted.select("key", "node")
+    texts = keyed(docs.select("doc_id", "text"))
+    few = of_key.count() <= BROADCAST_ROWS
+    texts = (texts.join(F.broadcast(of_key), "key") if few else maybe_among(texts, "key", of_key).where("__maybe").join(of_key, "key")).select("node", "text")
+    sets, sets_path = ws.stage(shingle_sets(texts.dropDuplicates(["node"])), "mh-sets")
     links, links_path = ws.stage(verified(star, sets), "mh-links")
     roots = components(links)
     labelled = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     opened, opened_path = ws.stage(labelled.join(mixed, "key").select("node", "root").distinct(), "mh-opened")
-    within = sets.join(opened.select("node"), "node", "left_semi")
-    pairs = pairs_across(prefixes(within, shingle_counts(within)), opened, info)
+    pairs = pairs_across(prefixes(sets, shingle_counts(sets)), opened, info)
     more, more_path = ws.stage(verified(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets), "mh-more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     least = roots.join(nodes.select("node", "f"), "node").groupBy("root").agg(F.min("f").alias("f"))
     named = roots.join(least, "root").select("node", F.col("f").alias("least"))
-    final = nodes.select("node", "f", "copies").join(named, "node", "left").where("copies > 1 or least is not null").withColumn("least", F.coalesce("least", "f"))
-    final, _ = ws.stage(final.select("node", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("stays")), "mh-final")
+    final = nodes.select("digest", "node", "f", "copies").join(named, "node", "left").where("copies > 1 or least is not null").withColumn("least", F.coalesce("least", "f"))
+    final, _ = ws.stage(final.select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("stays")), "mh-final")
     ws.drop(spark, nodes_path, wanted_path, shared_path, pivots_path, members_path, star_path, sets_path, links_path, opened_path, more_path)
-    return rows.select("doc_id", "key", "n", "node"), final
+    return rows.select("doc_id", "key", "n", "digest"), final
 
 
 def find_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     with ws.small_batches(docs.sparkSession):
         rows, final = resolve(docs)
-    out = rows.join(final.withColumn("found", F.lit(True)), "node", "left")
+    out = rows.join(final.withColumn("found", F.lit(True)), "digest", "left")
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -315,13 +332,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component. Of rows that are equal in id and text any one stays: each task sends one."""
     with ws.small_batches(docs.sparkSession):
         rows, final = resolve(docs)
-    judged = rows.join(final, "node").groupBy("key").agg(F.first(F.col("key") == F.col("stays")).alias("__stays"), (F.count(F.lit(1)) > 1).alias("__several"))
+    judged = rows.join(final, "digest").groupBy("key").agg(F.first(F.col("key") == F.col("stays")).alias("__stays"), (F.count(F.lit(1)) > 1).alias("__several"))
     judged, _ = ws.stage(judged.withColumnRenamed("key", "__key"), "mh-judged")
     few = judged.count() <= BROADCAST_ROWS
-    marked = docs.withColumn("__key", row_key()).join(F.broadcast(judged) if few else judged, "__key", "left")
-    plain = marked.where(F.col("__stays").isNull() | (F.col("__stays") & ~F.col("__several")))
+    rows = docs.withColumn("__key", row_key())
+    if not few:
+        rows = maybe_among(rows, "__key", judged)
+    marked = rows.join(F.broadcast(judged), "__key", "left") if few else rows.where("__maybe").join(judged, "__key", "left")
+    plain = marked.where(F.col("__stays").isNull() | (F.col("__stays") & ~F.col("__several"))).select(*docs.columns)
+    if not few:
+        plain = plain.unionByName(rows.where("not __maybe").select(*docs.columns))
     one = marked.where(F.col("__stays") & F.col("__several")).groupBy("__key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
-    return plain.select(*docs.columns).unionByName(one.select("__row.*"))
+    return plain.unionByName(one.select("__row.*"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
