@@ -19,7 +19,7 @@ of shingles, whether a set has an odd number of them (two sets differ by at leas
 round two every pair that shares a bucket is linked, refuted, or inside one component. No bucket is capped.
 
 What is shuffled. Nodes go by a number, not by their digest. Sizes and sketches are kept apart for nodes that share a bucket, which are
-few. Of their texts the text is shuffled, once, to drop repeated rows; their sets only to be verified, and then those that a pair names.
+few. Of their texts the text is shuffled, once, to drop repeated rows; their sets only to be verified, in round two only those that a pair names.
 
 Components are found by label propagation with pointer jumping: joins and minima, staged after each round.
 
@@ -187,9 +187,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    named = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    left = named.select(F.col("node").alias("a"), F.col("s").alias("x"))
-    right = named.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -308,14 +307,17 @@ def resolve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     opened, opened_path = ws.stage(labelled.join(mixed, "key").select("node", "root").distinct(), "mh-opened")
     pairs = pairs_across(prefixes(sets, shingle_counts(sets)), opened, info)
-    more, more_path = ws.stage(verified(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets), "mh-more")
+    rest, rest_path = ws.stage(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "mh-rest")
+    # staged, as Spark splits the join of a node in many pairs only where no other join stands below it
+    named, named_path = ws.stage(sets.join(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "mh-named")
+    more, more_path = ws.stage(verified(rest, named), "mh-more")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     least = roots.join(nodes.select("node", "f"), "node").groupBy("root").agg(F.min("f").alias("f"))
     named = roots.join(least, "root").select("node", F.col("f").alias("least"))
     final = nodes.select("digest", "node", "f", "copies").join(named, "node", "left").where("copies > 1 or least is not null").withColumn("least", F.coalesce("least", "f"))
     final, _ = ws.stage(final.select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("stays")), "mh-final")
-    ws.drop(spark, nodes_path, wanted_path, shared_path, pivots_path, members_path, star_path, sets_path, links_path, opened_path, more_path)
+    ws.drop(spark, nodes_path, wanted_path, shared_path, pivots_path, members_path, star_path, sets_path, links_path, opened_path, rest_path, named_path, more_path)
     return rows.select("doc_id", "key", "n", "digest"), final
 
 
